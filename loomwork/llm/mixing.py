@@ -36,7 +36,7 @@ def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
     limited = totals.select("source", "source_size", pick.alias("weight")).withColumn("ratio", most * F.col("source_size") / F.col("weight"))
     level = (share * F.sum("source_size").over(every) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(from_here)
     levelled = limited.withColumn("level", level)
-    final = F.min(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(every)
+    final = F.max(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(every)
     target = F.when(F.col("ratio") > F.coalesce(final, F.lit(float("inf"))), F.col("weight") * final).otherwise(most * F.col("source_size"))
     return levelled.withColumn("target", target).select("source", "source_size", "target", F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)).alias("rate"))
 
@@ -47,12 +47,12 @@ def copies_of(rate, doc_id, seed: str = SEED):
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
 
 
-def _planned(sized: DataFrame) -> DataFrame:
-    """sized(..., source, size) with source_size, target and rate."""
+def _planned(rows: DataFrame, sized: DataFrame) -> DataFrame:
+    """rows(source, ...) with source_size, target and rate, by the totals of sized(source, size)."""
     totals = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     few = totals.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     right = totals.withColumnRenamed("source", "__source")
-    return sized.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    return rows.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
 
 
 def mix_table(documents: DataFrame) -> DataFrame:
@@ -64,20 +64,15 @@ def mix_table(documents: DataFrame) -> DataFrame:
     prepare(documents.sparkSession)
     sized = written(documents.select("doc_id", F.col("source").cast("string").alias("source"), size_of(text_column(documents)).alias("size")), "sized")
     taken = copies_of(F.col("rate"), F.col("doc_id")) * F.col("size")
-    return _planned(sized).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return _planned(sized, sized).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mixed(documents: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken; columns as given."""
-    columns = documents.columns
-    sized = documents.select(*columns, size_of(text_column(documents)).alias("__size"))
+    rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("__row"), F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"))
     small = written(documents.select(F.col("source").cast("string").alias("source"), size_of(text_column(documents)).alias("size")), "sized")
-    totals = written(targets(small.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    few = totals.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    right = totals.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    joined = sized.join(F.broadcast(right) if few else right, F.col("source").cast("string").eqNullSafe(F.col("__source")))
-    many = joined.withColumn("__copies", copies_of(F.col("__rate"), F.col("doc_id"))).where("__copies > 0")
-    return many.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")).select(*columns)
+    many = _planned(rows, small).withColumn("copies", copies_of(F.col("rate"), F.col("doc_id"))).where("copies > 0")
+    return many.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("__row.*")
 
 
 #: DuckDB SQL for mix_table.
@@ -95,7 +90,7 @@ WITH d AS (
     - 2.0::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY ratio, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
     / sum(weight) OVER (ORDER BY ratio, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r
 ), f AS (
-  SELECT *, min(CASE WHEN ratio > level THEN level END) OVER () AS final FROM l
+  SELECT *, max(CASE WHEN ratio > level THEN level END) OVER () AS final FROM l
 ), g AS (
   SELECT source, source_size, CASE WHEN ratio > coalesce(final, 'inf'::DOUBLE) THEN weight * final ELSE 2.0::DOUBLE * source_size END AS target FROM f
 ), x AS (

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, jaccard, language, mixing, token_files, toxicity
+from . import chat, decontaminate, html_text, jaccard, language, mixing, neighbours, secrets, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -14,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_toxicity(spark, sf_dir):
     return toxicity.toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,16 +37,29 @@ def op5_jaccard(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op6_secrets(spark, sf_dir):
+    return secrets.secret_table(table(spark, sf_dir, "documents"))
+
+
 def op7_tokens(spark, sf_dir):
     return token_files.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_nearest(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+def op9_html(spark, sf_dir):
+    return html_text.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_language(spark, sf_dir):
     return language.language_table(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_chat, op4_mix, op5_jaccard, op7_tokens, op10_language)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_chat, op4_mix, op5_jaccard, op6_secrets, op7_tokens, op8_nearest, op9_html, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
