@@ -70,20 +70,25 @@ def edit_search(item: str, text: str) -> tuple[int, int]:
     return best, at
 
 
-def walks(rows: list[bytes], steps: int, seed: int) -> np.ndarray:
-    """CGK embeddings of byte strings for one walk: rows by steps."""
-    bits = np.random.default_rng(1000 + seed).integers(0, 2, (1 << 14, 256), np.int8)
-    width = max(map(len, rows)) + 1
-    table = np.zeros((len(rows), width), np.uint8)
+_BITS = np.stack([np.random.default_rng(1000 + w).integers(0, 2, (1 << 12, 256), np.int8) for w in range(WALKS)])
+
+
+def walks(rows: list[bytes], steps: int) -> np.ndarray:
+    """CGK embeddings of byte strings: walks by rows by steps. All strings and walks advance together, a step at a time."""
+    n, lengths = len(rows), np.array([len(r) for r in rows])
+    width = int(lengths.max()) + 1
+    table = np.zeros((n, width), np.uint8)
     for k, r in enumerate(rows):
         table[k, : len(r)] = np.frombuffer(r, np.uint8)
-    lengths = np.array([len(r) for r in rows])
-    at, line, out = np.zeros(len(rows), np.int64), np.arange(len(rows)), np.zeros((len(rows), steps), np.uint8)
+    line, flat = np.tile(np.arange(n) * width, WALKS), table.ravel()
+    last, walk = np.tile(lengths, WALKS), np.repeat(np.arange(WALKS) * 256, n)
+    at, out = np.zeros(WALKS * n, np.int64), np.empty((steps, WALKS * n), np.uint8)
     for j in range(steps):
-        c = table[line, at]
-        out[:, j] = c
-        at = np.minimum(at + bits[j % len(bits), c], lengths)
-    return out
+        c = flat[line + at]
+        out[j] = c
+        at += _BITS[:, j % _BITS.shape[1]].ravel()[walk + c]
+        np.minimum(at, last, out=at)
+    return out.T.reshape(WALKS, n, steps)
 
 
 def _class(length: int) -> int:
@@ -139,8 +144,9 @@ class Index:
         for k, t in enumerate(out.texts):
             by_class[_class(len(t))].append(k)
         for kind, own in by_class.items():
+            embedded = walks([out.texts[k] for k in own], _steps(kind))
             for w in range(WALKS):
-                found = signatures(walks([out.texts[k] for k in own], _steps(kind), w), kind, w)
+                found = signatures(embedded[w], kind, w)
                 for j in range(SAMPLES):
                     table = out.tables.setdefault((kind, w, j), {})
                     for k, x in zip(own, found[:, j].tolist()):
@@ -193,21 +199,27 @@ class Index:
                 size = len(self.texts[item])
                 slack = int(TOLERANCE * size) + 1
                 a = at[row] + max(0, word)
-                text = self.words(raw, s, e, a, at[row + 1], size)
-                pending[_class(size)].append((row, text[:size], self.back(raw, s, e, a, at[row], slack) + self.words(raw, s, e, a, at[row + 1], size + slack)))
+                text = self.words(raw, s, e, a, at[row + 1], size + slack)
+                pending[_class(size)].append((row, text[:size], self.back(raw, s, e, a, at[row], slack) + text))
             found: dict[tuple[int, int], int] = {}
-            for kind, windows in pending.items():
+            kinds = list(pending)
+            embedded = walks([x[1] for k in kinds for x in pending[k]], max(map(_steps, kinds))) if kinds else None
+            first_of = 0
+            for kind in kinds:
+                windows = pending[kind]
                 met = [set() for _ in windows]
                 for w in range(WALKS):
-                    marks = signatures(walks([x[1] for x in windows], _steps(kind), w), kind, w)
+                    marks = signatures(embedded[w, first_of : first_of + len(windows)], kind, w)
                     for j in range(SAMPLES):
                         table = self.tables[kind, w, j]
                         for own_met, x in zip(met, marks[:, j].tolist()):
-                            own_met.update(table.get(x, ()))
+                            if x in table:
+                                own_met.update(table[x])
+                first_of += len(windows)
                 done = set()
                 for (row, _, around), items in zip(windows, met):
                     for item in items:
-                        if (row, item, around) in done:
+                        if (row, item, around) in done or found.get((row, item)) == 0:
                             continue
                         done.add((row, item, around))
                         text = self.texts[item].decode()
