@@ -7,50 +7,91 @@ the ids before a document in its part. Readers can take the counts, or the ids o
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_path, prepare, text_column
+from .kernels import blocks, text_buffer
 
 END = 1
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+#: Text encoded at once.
+BLOCK_BYTES = 4 << 20
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 1 << 18, 512
 
+_STOP = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,])([ \n])"
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
 _tokenizers: dict = {}
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizers file that drops white space: words between blanks are encoded on their own and remembered, which gives the ids of the whole text."""
+    """Encodes texts with a tokenizers file that drops white space: words between blanks are encoded on their own and remembered, which gives the ids of the whole text.
+
+    A sentence's full stop or comma is a token run of its own, so it is cut off the word. New words of plain letters are one run each
+    and go through the library together, as one text: the vocabulary marks the ids that end a run.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For lower-cased Latin-1 letters the file's normalizer and pattern change nothing, so a plainer front of the same model serves.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
-    def words(self, text: str) -> list[str]:
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    def learn(self, words: list[str]) -> None:
+        plain = [w for w in words if _PLAIN.fullmatch(w)]
+        for k in range(0, len(plain), 2048):
+            some = plain[k : k + 2048]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(some).lower()], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(some) or cut[-1] != len(ids):
+                raise ValueError("the tokenizer does not keep words of letters apart")
+            raw, cut = ids.tobytes(), (4 * cut).tolist()
+            self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *cut[:-1]], cut))))
+        other = [w for w in words if w not in self.known]
+        for k in range(0, len(other), 4096):
+            some = other[k : k + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        missing = list({w for words in split for w in words} - self.known.keys())
+    def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by `end`, and the texts' offsets into them."""
+        text = pc.replace_substring_regex(column.cast(pa.large_string()).fill_null(""), _STOP, r"\1 \2\3")
+        split = pc.split_pattern(pc.replace_substring(text, "\n", " "), " ")
+        word = split.flatten().dictionary_encode()
+        used = word.dictionary.to_pylist()
+        missing = [w for w in used if w not in self.known]
         if len(self.known) + len(missing) > REMEMBERED:
             self.known.clear()
-            missing = list({w for words in split for w in words})
-        for k in range(0, len(missing), 4096):
-            some = missing[k : k + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            missing = used
+        self.learn(missing)
+        own = [self.known[w] for w in used]
+        own.append(np.array([end], "<u4").tobytes())
+        flat, size = np.frombuffer(b"".join(own), "<i4"), np.array([len(x) // 4 for x in own], np.int64)
+        first = np.cumsum(size) - size
+        last = split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0]
+        index = np.insert(word.indices.to_numpy().astype(np.int64), last, len(used))
+        lengths = size[index]
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        ids = flat[np.repeat(first[index] - total[:-1], lengths) + np.arange(total[-1])]
+        return ids, total[np.concatenate([[0], last + np.arange(1, len(last) + 1)])]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -62,19 +103,29 @@ def encoder(path: str) -> WordEncoder:
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about BLOCK_BYTES: words are looked up once a batch."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= BLOCK_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, before = encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([END], "<u4").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                found = own.encode([t or "" for t in b.column(1).to_pylist()])
-                n = np.array([len(x) // 4 + 1 for x in found], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(n)])
-                ids = pa.array(np.frombuffer(b"".join(x + end for x in found), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), ids)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(before + offsets[:-1]), pa.array(n), lists], schema=_SCHEMA)
+        for whole in _gathered(batches):
+            _, at = text_buffer(whole.column(1))
+            for start, stop in blocks(at, BLOCK_BYTES):
+                b = whole.slice(start, stop - start)
+                ids, offsets = own.encode(b.column(1), END)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(b), part, np.int32)), pa.array(before + offsets[:-1]), pa.array(np.diff(offsets)), lists], schema=_SCHEMA)
                 before += int(offsets[-1])
 
     return run
