@@ -21,7 +21,7 @@ from .common import held_out, prepare, removed, text_column, train_row, written
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
 #: The weights are fitted on at most so many rows of a language, and so many in all; labels beyond the most frequent are not learned.
-PER_LANGUAGE, SAMPLE, LANGUAGES = 2000, 20_000, 500
+PER_LANGUAGE, SAMPLE, LANGUAGES = 1000, 10_000, 500
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -97,7 +97,7 @@ def fit_weights(rows: list[tuple[int, np.ndarray, np.ndarray]], model: Model, ep
     draw = np.random.default_rng(seed)
     order = draw.permutation(len(rows))
     aside, used = order[: len(order) // 5], order[len(order) // 5 :]
-    ready = [(y, np.append(ids, FEATURES), np.append(model.vector(ids, counts), 1.0)) for y, ids, counts in rows]
+    ready = [(y, np.append(ids, FEATURES).astype(np.int32), np.append(model.vector(ids, counts), 1.0).astype(np.float32)) for y, ids, counts in rows]
     for _ in range(epochs):
         for r in draw.permutation(used):
             y, at, x = ready[r]
@@ -158,7 +158,7 @@ def fit(documents: DataFrame) -> Model:
     model = Model(sorted(r.lang for r in sizes), (np.log((1 + total) / (1 + df)) + 1).astype(np.float64), np.zeros((FEATURES + 1, max(1, len(sizes))), np.float32))
     code = {x: k for k, x in enumerate(model.languages)}
     sample = gathered.where("lang is not null").orderBy(F.xxhash64("lang", "ids", "counts")).limit(2 * SAMPLE).toArrow()
-    data = [(code[x.as_py()], np.frombuffer(i.as_buffer(), np.uint32).astype(np.int64), np.frombuffer(c.as_buffer(), np.uint32).astype(np.float64)) for x, i, c in zip(sample["lang"], sample["ids"], sample["counts"]) if x.as_py() in code]
+    data = [(code[x.as_py()], np.frombuffer(i.as_buffer(), np.uint32), np.frombuffer(c.as_buffer(), np.uint32)) for x, i, c in zip(sample["lang"], sample["ids"], sample["counts"]) if x.as_py() in code]
     removed(documents.sparkSession, gathered)
     if data:
         fit_weights(data, model)

@@ -12,6 +12,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: The mix takes this share of all words; a source at most so many times its own.
 SHARE, MOST = 1.5, 2.0
 SEED = "mix-1"
+#: Of so many seeds a source uses the one whose draws come nearest to its target.
+SEEDS = 16
 #: A table of more sources than this is joined by a shuffle, not a broadcast.
 MOST_BROADCAST = 100_000
 
@@ -41,20 +43,33 @@ def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
     return levelled.withColumn("target", target).select("source", "source_size", "target", F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)).alias("rate"))
 
 
-def copies_of(rate, doc_id, seed: str = SEED):
+def copies_of(rate, doc_id, seed):
     """floor(rate) copies, and one more if the id's hash as a number in [0, 1) is below the fraction."""
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary")), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
+    text = F.concat(F.lit(SEED + ":"), seed.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+    draw = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
 
 
-def _planned(rows: DataFrame, sized: DataFrame) -> DataFrame:
-    """rows(source, ...) with source_size, target and rate, by the totals of sized(source, size)."""
-    totals = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    few = totals.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    right = totals.withColumnRenamed("source", "__source")
+def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows(source, ...) with the plan's columns; the plan has a row per source and is broadcast if those are few."""
+    few = plan.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    right = plan.withColumnRenamed("source", "__source")
     return rows.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
 
 
+def planned(sized: DataFrame) -> DataFrame:
+    """sized(doc_id, source, size) -> source, source_size, target, rate and seed of each source."""
+    plan = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
+    taken = [F.sum(F.col("size") * copies_of(F.col("rate"), F.col("doc_id"), F.lit(k))) for k in range(SEEDS)]
+    misses = F.array(*(F.struct(F.abs(x - F.first("target")).alias("miss"), F.lit(k).alias("seed")) for k, x in enumerate(taken)))
+    seeds = _joined(sized, plan).groupBy(F.col("source").alias("s")).agg(F.array_min(misses)["seed"].alias("seed"))
+    return written(plan.join(seeds, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "plan")
+
+
+def _sized(documents: DataFrame) -> DataFrame:
+    return written(documents.select("doc_id", F.col("source").cast("string").alias("source"), size_of(text_column(documents)).alias("size")), "sized")
+
+
 def mix_table(documents: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of every row.
 
@@ -62,16 +77,15 @@ def mix_table(documents: DataFrame) -> DataFrame:
     their id; a null id draws as one of its own. If all texts are empty all targets are 0. An empty table gives an empty table.
     """
     prepare(documents.sparkSession)
-    sized = written(documents.select("doc_id", F.col("source").cast("string").alias("source"), size_of(text_column(documents)).alias("size")), "sized")
-    taken = copies_of(F.col("rate"), F.col("doc_id")) * F.col("size")
-    return _planned(sized, sized).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    sized = _sized(documents)
+    taken = copies_of(F.col("rate"), F.col("doc_id"), F.col("seed")) * F.col("size")
+    return _joined(sized, planned(sized)).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mixed(documents: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken; columns as given."""
     rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("__row"), F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"))
-    small = written(documents.select(F.col("source").cast("string").alias("source"), size_of(text_column(documents)).alias("size")), "sized")
-    many = _planned(rows, small).withColumn("copies", copies_of(F.col("rate"), F.col("doc_id"))).where("copies > 0")
+    many = _joined(rows, planned(_sized(documents))).withColumn("copies", copies_of(F.col("rate"), F.col("doc_id"), F.col("seed"))).where("copies > 0")
     return many.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("__row.*")
 
 
@@ -93,10 +107,16 @@ WITH d AS (
   SELECT *, max(CASE WHEN ratio > level THEN level END) OVER () AS final FROM l
 ), g AS (
   SELECT source, source_size, CASE WHEN ratio > coalesce(final, 'inf'::DOUBLE) THEN weight * final ELSE 2.0::DOUBLE * source_size END AS target FROM f
-), x AS (
-  SELECT d.doc_id, d.size, g.source_size, g.target, CASE WHEN g.source_size = 0 THEN 0.0::DOUBLE ELSE g.target / g.source_size END AS rate,
-    CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS draw
+), h AS (
+  SELECT d.doc_id, d.size, d.source, g.source_size, g.target, CASE WHEN g.source_size = 0 THEN 0.0::DOUBLE ELSE g.target / g.source_size END AS rate
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+), x AS (
+  SELECT h.*, seed, CAST((floor(rate) + CASE WHEN CAST('0x' || substr(md5('mix-1:' || CAST(seed AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+  FROM h CROSS JOIN (SELECT unnest(range(16)) AS seed)
+), m AS (
+  SELECT source, seed, abs(sum(taken)::DOUBLE - any_value(target)) AS miss FROM x GROUP BY 1, 2
+), b AS (
+  SELECT source, seed FROM m QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, seed) = 1
 )
-SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM x
+SELECT doc_id, size, source_size, target, taken FROM x JOIN b ON x.source IS NOT DISTINCT FROM b.source AND x.seed = b.seed
 """

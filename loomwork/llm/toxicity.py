@@ -2,13 +2,13 @@
 
 * A token's score is the log-odds of its use in toxic and in other documents, with Dirichlet priors in a chain: a word's prior
   is what its six-byte prefix shows, that prefix's is the five-byte one's, and so on to the overall share. Counts are kept in
-  hashed tables of fixed size.
+  two hashed tables of fixed size; the smaller count of the two is taken. A word scores above zero once in a text.
 * One linear scan over a text's token scores finds all maximal-scoring segments (Ruzzo and Tompa).
 * By extreme-value theory the best segment of a clean text of n tokens scores above x with probability 1 - exp(-K n exp(-lambda x)).
   lambda solves sum p_i exp(lambda s_i) = 1 over clean tokens, K is fitted to clean texts. Segments with a small expected number are
   passages; the strongest evidence and the number of passages are mapped to a probability by a logistic fit.
 
-Counts and calibration use two folds: a document is scored for calibration with counts of the other fold only.
+Of exact copies one is learned from. For calibration a document is scored by the counts of all others: its own are taken off.
 """
 
 from __future__ import annotations
@@ -23,14 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import held_out, prepare, text_column, train_row
+from .common import held_out, prepare, text_column, train_row, written
 
+#: Of each of the two tables.
 BUCKETS = 1 << 21
 PREFIXES = (6, 5, 4)
 #: Counts and calibration use at most about so many labelled documents of each class, chosen by hash.
 PER_CLASS = 20_000
 #: Strength of a prior in documents; what a token costs a segment; the range of a token's score.
-PRIOR, COST, LOW, HIGH = 2.0, 0.5, -2.0, 6.0
+PRIOR, COST, LOW, HIGH = 2.0, 1.0, -2.0, 6.0
 #: A segment expected less often than this in a clean text of its length is a passage.
 SIGNIFICANT = 0.01
 THRESHOLD = 0.3
@@ -47,18 +48,35 @@ def token_buckets(column: pa.Array):
         part = offsets[start : stop + 1]
         own = data[part[0] : part[-1]]
         s, e, at = K.word_spans(own, part - part[0], _GAP)
-        yield start, at, [(h >> K.U64(40)).astype(np.int64) & (BUCKETS - 1) for h in (K.span_hashes(own, s, e, PREFIXES) if len(s) else [np.zeros(0, K.U64)] * 4)]
+        hashes = K.span_hashes(own, s, e, PREFIXES) if len(s) else [np.zeros(0, K.U64)] * (1 + len(PREFIXES))
+        yield start, at, [np.stack([(h >> K.U64(40)).astype(np.int64) & (BUCKETS - 1), BUCKETS + ((h >> K.U64(16)).astype(np.int64) & (BUCKETS - 1))]) for h in hashes]
 
 
-def token_scores(buckets: list[np.ndarray], toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
-    prior = np.full(len(buckets[0]), share)
+def token_scores(buckets: list[np.ndarray], toxic: np.ndarray, clean: np.ndarray, share: float, own: np.ndarray | None = None) -> np.ndarray:
+    """Scores of tokens; own: the label of each token's document, if that is among the counted."""
+    prior = np.full(buckets[0].shape[1], share)
     for b in (*buckets[:0:-1], buckets[0]):  # from the shortest prefix to the word
-        t, c = toxic[b] + PRIOR * prior, clean[b] + PRIOR * (1 - prior)
+        t, c = toxic[b].min(axis=0), clean[b].min(axis=0)
+        if own is not None:
+            t, c = np.maximum(t - own, 0), np.maximum(c - (1 - own), 0)
+        t, c = t + PRIOR * prior, c + PRIOR * (1 - prior)
         prior = t / (t + c)
     odds = np.log(prior / (1 - prior)) - np.log(share / (1 - share))
     return np.clip(odds, LOW, HIGH) - COST
 
 
+def first_uses(scores: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Scores of one text's tokens, with those above zero kept at a word's first use alone: a word said often is no more evidence."""
+    up = np.flatnonzero(scores > 0)
+    if len(up) < 2:
+        return scores
+    again = np.ones(len(up), bool)
+    again[np.unique(words[up], return_index=True)[1]] = False
+    out = scores.copy()
+    out[up[again]] = -COST
+    return out
+
+
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score) in linear time; runs of negative tokens are read as one."""
     up = np.flatnonzero(scores > 0)
@@ -100,43 +118,44 @@ class Model:
 
     def probability(self, value: float, passages: int) -> float:
         a, b, c = self.weights
-        return float(1 / (1 + np.exp(-np.clip(a + b * value + c * np.log1p(passages), -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(a + b * np.log1p(value) + c * np.log1p(passages), -30, 30))))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros((4, BUCKETS), np.int32)
+    size = 2 * BUCKETS
+    table = np.zeros((2, size), np.int32)
     for b in batches:
-        kind = b.column(1).to_numpy() * 2 + b.column(2).to_numpy()  # fold, toxic
+        kind = b.column(1).to_numpy()
         for start, at, buckets in token_buckets(b.column(0)):
             row = np.repeat(np.arange(len(at) - 1), np.diff(at))
             for x in buckets:
-                if len(x):
-                    own = np.unique(row * BUCKETS + x)  # a document counts once
-                    np.add.at(table, (kind[start + own // BUCKETS], own % BUCKETS), 1)
+                if x.size:
+                    own = np.unique((row * size + x).ravel())  # a document counts once
+                    np.add.at(table, (kind[start + own // size], own % size), 1)
     at = np.flatnonzero(table.any(axis=0))
     for k in range(0, len(at), 100_000):
         own = at[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(table[j, own]) for j in range(4))], names=["bucket", "c0", "t0", "c1", "t1"])
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(table[j, own]) for j in range(2))], names=["bucket", "clean", "toxic"])
 
 
-def _evidence(model_of):
-    """Rows of (best score, tokens, segment scores above zero as bytes, a histogram of token scores)."""
+def _evidence(counts):
+    """Rows of (best score, tokens, a histogram of token scores and the segments' scores as bytes, label), each document's own counts taken off."""
 
     def run(batches):
-        toxic, clean, share = model_of.value
+        toxic, clean, share = counts.value
         edges = np.linspace(LOW - COST, HIGH - COST, 66)
         for b in batches:
-            fold = b.column(1).to_numpy()
+            label = b.column(1).to_numpy()
             best, n, marks = [], [], []
             for start, at, buckets in token_buckets(b.column(0)):
-                both = [token_scores(buckets, toxic[k], clean[k], share) for k in (0, 1)]
+                scores = token_scores(buckets, toxic, clean, share, np.repeat(label[start : start + len(at) - 1], np.diff(at)))
                 for r in range(len(at) - 1):
-                    s = both[1 - fold[start + r]][at[r] : at[r + 1]]  # counts of the other fold
+                    s = first_uses(scores[at[r] : at[r + 1]], buckets[0][1, at[r] : at[r + 1]])
                     found = segments(s)
                     best.append(max((x[2] for x in found), default=0.0))
                     n.append(len(s))
                     marks.append(np.concatenate([np.histogram(s, edges)[0].astype(float), np.array([x[2] for x in found])]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(best, pa.float64()), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), b.column(2)], names=["best", "n", "marks", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(best, pa.float64()), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), b.column(1)], names=["best", "n", "marks", "toxic"])
 
     return run
 
@@ -162,23 +181,26 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     sizes = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         p = 0.99 if sizes.get(1) else 0.01
-        return Model(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), 0.5, weights=(float(np.log(p / (1 - p))), 0.0, 0.0))
-    share = F.when(F.col("toxic") == 1, min(1.0, PER_CLASS / sizes[1])).otherwise(min(1.0, PER_CLASS / sizes[0]))
+        return Model(np.zeros(2 * BUCKETS, np.float32), np.zeros(2 * BUCKETS, np.float32), 0.5, weights=(float(np.log(p / (1 - p))), 0.0, 0.0))
+    part = F.when(F.col("toxic") == 1, min(1.0, PER_CLASS / sizes[1])).otherwise(min(1.0, PER_CLASS / sizes[0]))
     key = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), F.lit(1 << 30))
-    sample = marks.where(key < share * (1 << 30)).select("doc_id", "toxic", (key % 2).cast("int").alias("fold")).orderBy(key).limit(3 * PER_CLASS)
-    rows = documents.select("doc_id", text_column(documents).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "fold", "toxic")
-    counts = rows.mapInArrow(_count, "bucket int, c0 int, t0 int, c1 int, t1 int").groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1"))).toArrow()
-    table = np.zeros((4, BUCKETS), np.float32)
-    for k, c in enumerate(("c0", "t0", "c1", "t1")):
+    sample = marks.where(key < part * (1 << 30)).select("doc_id", "toxic").orderBy(key, "doc_id").limit(3 * PER_CLASS)
+    text = documents.select("doc_id", text_column(documents).alias("text"))
+    ids = text.select("doc_id", F.xxhash64("text").alias("hash")).join(F.broadcast(sample), "doc_id").groupBy("hash", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    ids = written(ids.select("doc_id", "toxic").distinct(), "sample")
+    rows = text.join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    drawn = {r.toxic: r.n for r in ids.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn = {y: max(1, drawn.get(y, 0)) for y in (0, 1)}
+    counts = rows.mapInArrow(_count, "bucket int, clean int, toxic int").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    table = np.zeros((2, 2 * BUCKETS), np.float32)
+    for k, c in enumerate(("clean", "toxic")):
         table[k, counts["bucket"].to_numpy()] = counts[c].to_numpy()
     # Documents count, so the share of a word that tells nothing is that of toxic documents.
-    drawn = {y: min(PER_CLASS, n) for y, n in sizes.items()}
     share = drawn[1] / (drawn[0] + drawn[1])
-    shared = spark.sparkContext.broadcast((table[1::2], table[0::2], share))
-    seen = rows.mapInArrow(_evidence(shared), "best double, n long, marks binary, toxic int").toArrow()
+    seen = rows.mapInArrow(_evidence(spark.sparkContext.broadcast((table[1], table[0], share))), "best double, n long, marks binary, toxic int").toArrow()
     best, n, toxic = (seen[c].to_numpy() for c in ("best", "n", "toxic"))
     marks_of = [np.frombuffer(x.as_buffer(), np.float64) for x in seen["marks"]]
-    model = Model(table[1] + table[3], table[0] + table[2], share)
+    model = Model(table[1], table[0], share)
     clean = np.flatnonzero(toxic == 0)
     spread = sum((marks_of[k][:65] for k in clean), np.zeros(65))
     middle = np.linspace(LOW - COST, HIGH - COST, 66)
@@ -190,7 +212,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     fair = clean[n[clean] > 0]
     # Of clean texts, a share 1 - exp(-K n exp(-rate x)) scores above x: K by maximum likelihood given the rate.
     model.log_k = float(-np.log(np.mean(n[fair] * np.exp(-model.rate * np.maximum(best[fair], 0))))) if len(fair) else 0.0
-    x = np.array([[v, np.log1p(k)] for v, k in (model.evidence(best[i], n[i], [(0, 0, s) for s in marks_of[i][65:]]) for i in range(len(best)))])
+    x = np.array([[np.log1p(v), np.log1p(k)] for v, k in (model.evidence(best[i], n[i], [(0, 0, s) for s in marks_of[i][65:]]) for i in range(len(best)))])
     # The sample may hold a smaller share of the clean ones than the table; weigh the intercept back.
     w = _logistic(x, toxic.astype(float))
     w[0] += np.log(sizes[1] / drawn[1]) - np.log(sizes[0] / drawn[0])
@@ -213,7 +235,7 @@ def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
             for _, at, buckets in token_buckets(b.column(0)):
                 s = token_scores(buckets, m.toxic, m.clean, m.share)
                 for r in range(len(at) - 1):
-                    found = segments(s[at[r] : at[r + 1]])
+                    found = segments(first_uses(s[at[r] : at[r + 1]], buckets[0][1, at[r] : at[r + 1]]))
                     k = int(at[r + 1] - at[r])
                     value, passages = m.evidence(max((x[2] for x in found), default=0.0), k, found)
                     base = m.log_k + np.log(max(1, k))

@@ -134,12 +134,11 @@ def test_segments_are_maximal():
 
 
 def test_toxicity_held_out(spark):
-    base = DATA
-    docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.toxicity_table(docs, labels).join(labels, "doc_id").where("held_out").collect()
     hit = [r.score for r in rows if r.toxic == 1]
     miss = [r.score for r in rows if r.toxic == 0]
-    assert np.mean([a > b for a in hit for b in miss]) > 0.8
+    assert np.mean([(a > b) + (a == b) / 2 for a in hit for b in miss]) > 0.8
     assert sum(s >= 0.3 for s in miss) <= 0.05 * len(miss)
 
 
