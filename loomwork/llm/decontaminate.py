@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import prepare, text_column
+from .common import prepare, text_column, trimmed
 
 #: An item is found where its edit distance is at most this share of its length.
 TOLERANCE = 0.2
@@ -285,7 +285,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     row, item, distance, size = zip(*found)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(item, pa.int64()), pa.array(distance, pa.int64()), pa.array(size, pa.int64())], schema=_LEAKS)
 
-        own = rows.mapInArrow(run, "doc_id long, item_id long, distance long, item_chars long")
+        own = rows.mapInArrow(trimmed(run), "doc_id long, item_id long, distance long, item_chars long")
         out = own if out is None else out.union(own)
     return out.withColumn("similarity", 1 - F.col("distance") / F.col("item_chars"))
 
@@ -305,5 +305,5 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep[row] = False
                 yield b.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, documents.schema)
+        out = out.mapInArrow(trimmed(run), documents.schema)
     return out

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import prepare, text_column, written
+from .common import prepare, text_column, written, trimmed
 from .components import connected
 
 #: A list of more sets than this is handled in blocks.
@@ -68,7 +68,7 @@ def _documents(width: int):
                 fp.append(_fingerprint(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64())], schema=_DOCS)
 
-    return run
+    return trimmed(run)
 
 
 def _new_sets(batches, width):
@@ -91,7 +91,7 @@ def _first_grams(width: int, percent: int):
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64))], schema=_GRAMS)
 
-    return run
+    return trimmed(run)
 
 
 def _postings(width: int, percent: int, frequent):
@@ -111,7 +111,7 @@ def _postings(width: int, percent: int, frequent):
             if gram:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gram).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (n, fp, pos))], schema=_POSTINGS)
 
-    return run
+    return trimmed(run)
 
 
 def _walk(percent: int):
@@ -208,7 +208,7 @@ def _walk(percent: int):
             yield from long.close()
         yield from finish(held)
 
-    return run
+    return trimmed(run)
 
 
 def _some_sets(width: int, wanted):
@@ -230,7 +230,7 @@ def _some_sets(width: int, wanted):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(fp[rows]), pa.array([found[k][2].tobytes() for k in rows], pa.binary())], schema=_SETS)
 
-    return run
+    return trimmed(run)
 
 
 def _linked(overlap, n, m, percent: int):
@@ -252,7 +252,7 @@ def _verify(percent: int):
             if keep:
                 yield pa.RecordBatch.from_arrays([u.take(pa.array(keep)), v.take(pa.array(keep))], schema=_LINKS)
 
-    return run
+    return trimmed(run)
 
 
 class _Forest:

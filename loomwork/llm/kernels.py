@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BLOCK_BYTES = 1 << 21
+#: Text hashed at once; the tables of powers are as long.
+BLOCK_BYTES = 1_000_000
 _ODD = 0x9E3779B97F4A7C15
 _P = 0xD1342543DE82EF95
 

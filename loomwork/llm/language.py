@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, prepare, removed, text_column, train_row, written
+from .common import held_out, prepare, removed, text_column, train_row, trimmed, written
 
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
@@ -123,6 +123,7 @@ def fit_weights(rows: list[tuple[int, np.ndarray, np.ndarray]], model: Model, ep
 _FITTED = pa.schema([("feature", pa.int32()), ("df", pa.int64()), ("lang", pa.string()), ("ids", pa.binary()), ("counts", pa.binary())])
 
 
+@trimmed
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df = np.zeros(FEATURES, np.int64)
     for b in batches:
@@ -177,7 +178,7 @@ def identify(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_i
             found = [m.predict(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(trimmed(run), schema)
 
 
 def language_table(documents: DataFrame) -> DataFrame:

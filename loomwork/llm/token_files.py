@@ -18,12 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, prepare, text_column
+from .common import new_path, prepare, text_column, trimmed
 from .kernels import blocks, text_buffer
 
 END = 1
 #: Words whose ids a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 #: Text encoded at once.
 BLOCK_BYTES = 4 << 20
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 1 << 18, 512
@@ -128,7 +128,7 @@ def _encode(path: str):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(b), part, np.int32)), pa.array(before + offsets[:-1]), pa.array(np.diff(offsets)), lists], schema=_SCHEMA)
                 before += int(offsets[-1])
 
-    return run
+    return trimmed(run)
 
 
 def write_token_files(documents: DataFrame, path: str, tokenizer: str) -> None:

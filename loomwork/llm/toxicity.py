@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import held_out, prepare, text_column, train_row, written
+from .common import held_out, prepare, text_column, train_row, written, trimmed
 
 #: Of each of the two tables.
 BUCKETS = 1 << 21
@@ -157,7 +157,7 @@ def _evidence(counts):
                     marks.append(np.concatenate([np.histogram(s, edges)[0].astype(float), np.array([x[2] for x in found])]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(best, pa.float64()), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), b.column(1)], names=["best", "n", "marks", "toxic"])
 
-    return run
+    return trimmed(run)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
@@ -244,7 +244,7 @@ def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",
                     spans.append([{"start": a, "end": e, "score": v} for a, e, v in found if m.rate * v - base > -np.log(SIGNIFICANT)])
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(p, pa.float64()), pa.array(n, pa.int64()), pa.array(spans, passage)], names=[*keep, "score", "n_tokens", "passages"])
 
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(trimmed(run), schema)
 
 
 def toxicity_table(documents: DataFrame, labels: DataFrame) -> DataFrame:
