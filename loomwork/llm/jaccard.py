@@ -385,3 +385,26 @@ def jaccard_components(documents: DataFrame, width: int = 4, percent: int = 85,
     some = rows.where("fp is not null").join(named, "fp").select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     none = rows.where("fp is null").select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("row_id").alias("component_id"))
     return some.unionByName(none)
+
+
+#: DuckDB SQL for jaccard_components with words of four and 85 percent.
+JACCARD_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 85 * (a.n + b.n - o)
+), e AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x
+), c AS (
+  SELECT a, min(b) AS component_id FROM r GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN c ON c.a = d.doc_id
+"""

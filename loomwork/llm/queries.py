@@ -63,4 +63,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix": mixing.MIX_SQL}
+    return {"op3_chat": chat.CHAT_SQL, "op4_mix": mixing.MIX_SQL, "op5_jaccard": jaccard.JACCARD_SQL}
