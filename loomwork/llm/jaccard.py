@@ -339,7 +339,7 @@ def _compare_blocks(percent: int):
     return run
 
 
-def set_links(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+def set_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (u, v) between fingerprints, enough to connect all that link."""
     spark = docs.sparkSession
     text = docs.select(F.lit(0).alias("row_id"), text_column(docs).alias("text"))
@@ -378,7 +378,7 @@ def jaccard_components(documents: DataFrame, width: int = 4, percent: int = 85,
     prepare(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("row_id"), text_column(documents).alias("text"))
     rows = written(docs.mapInArrow(_documents(width), "row_id long, n long, fp long"), "rows")
-    roots = connected(set_links(docs, rows, width, percent))
+    roots = connected(set_links(docs, width, percent))
     per_set = rows.where("fp is not null").groupBy("fp").agg(F.min("row_id").alias("least"))
     joined = per_set.join(roots, per_set.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")

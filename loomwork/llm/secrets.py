@@ -186,7 +186,7 @@ def findings(documents: DataFrame, trees: list[Tree]) -> DataFrame:
     null. The candidates of a row are numbered in text order; a very long text is scanned whole. An empty table gives an
     empty table; extra columns are ignored.
     """
-    # Braces of quantifiers are doubled nowhere: the pattern goes in as a literal. Only rows with a candidate are split.
+    # Only rows with a candidate are split.
     pattern = F.lit(CANDIDATE)
     rows = documents.select(F.col("doc_id").alias("doc_id"), text_column(documents).alias("text")).where(F.col("text").rlike(CANDIDATE))
     cut = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("text", pattern, F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("pieces"))
