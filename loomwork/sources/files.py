@@ -62,8 +62,6 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_ipc(df: DataFrame, path: str, stream: bool = False) -> DataFrame:
     """One Arrow file (or stream) per partition in a folder that all executors share; returns file and rows of each."""
-    schema = df.limit(0).toArrow().schema
-
     def run(batches):
         held = list(batches)
         if held:
@@ -73,7 +71,6 @@ def write_ipc(df: DataFrame, path: str, stream: bool = False) -> DataFrame:
                     w.write_batch(b)
             yield pa.RecordBatch.from_pydict({"file": [name], "rows": [sum(b.num_rows for b in held)]})
 
-    del schema
     return df.mapInArrow(run, "file string, rows long")
 
 
