@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +60,26 @@ def test_planted_leaks_are_found(spark):
         assert found[i, k] == plain_distance(norm(own[k]), norm(texts[i]))
 
 
+def test_recall_of_edited_items():
+    """Items with edited words, and with edited characters, are found up to the distances that the method is set for."""
+    draw = random.Random(8)
+    items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{DATA}/benchmark.parquet").to_pylist()]
+    index = decontaminate.Index.of(items)
+    words = [w for _, t in items for w in t.split()]
+    for pieces, sep, fill, most in ((str.split, " ", words, 0.2), (list, "", "abcdefghij", 0.1)):
+        texts, want = [], []
+        for i, t in items:
+            for rate in (0.03, 0.06, 0.1, 0.15, 0.2):
+                edited = sep.join(x for c in pieces(t) for x in ([c], [], [draw.choice(fill)], [c, draw.choice(fill)])[draw.randrange(1, 4) if draw.random() < rate else 0])
+                a = decontaminate.normal(t).decode()
+                if decontaminate.edit_search(a, decontaminate.normal(edited).decode())[0] <= most * len(a):
+                    texts.append(" ".join([*draw.choices(words, k=60), edited, *draw.choices(words, k=60)]))
+                    want.append(i)
+        found = {(row, item) for row, item, *_ in index.find(pa.array(texts))}
+        assert len(want) > 60
+        assert sum((k, i) in found for k, i in enumerate(want)) >= 0.95 * len(want)
+
+
 def test_exact_leaks_of_the_tables(spark):
     docs, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
     texts = [(r.doc_id, decontaminate.normal(r.text)) for r in docs.collect()]
