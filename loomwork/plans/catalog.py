@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import binary, lists, scalar, strings, temporal, udf
 from ..operators import frame, grouping, joins, ranges, reshape, stats, windows
+from ..session import work_path
 from ..sources import files
 from ..streaming import windows as stream
 
@@ -32,6 +33,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def live(self, name: str) -> DataFrame:
+        """A table as a stream of its files; as a pattern the path may name a file or a folder."""
+        return self.spark.readStream.schema(getattr(self, name).schema).parquet(f"{self.dir}/{{{name}}}.parquet")
+
 
 def query(sql: str | None = None):
     def add(f):
@@ -223,6 +228,12 @@ def arithmetic(t):
     return t.lineitem.select("l_orderkey", (n + 1).alias("plus"), (n - 2).alias("minus"), (n * 3).alias("times"), scalar.true_div(n, F.lit(2)).alias("over"), scalar.floor_div(n, F.lit(2)).cast("int").alias("whole"), (-n).alias("neg"))
 
 
+@query("SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(12, 2)) * 3 + CAST(0.25 AS DECIMAL(3, 2)) AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS none FROM customer")
+def decimal_arithmetic(t):
+    x = scalar.cast(F.col("c_acctbal"), "decimal(12,2)")
+    return t.customer.select("c_custkey", (x * 3 + F.lit("0.25").cast("decimal(3,2)")).cast("double").alias("x"), (x + F.lit(None).cast("decimal(12,2)")).cast("double").alias("none"))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CASE WHEN value > 0 THEN 'inf' WHEN value < 0 THEN '-inf' ELSE 'nan' END ELSE 'finite' END AS kind FROM events")
 def division_by_zero(t):
     x = scalar.true_div(F.col("value"), F.col("event_id") % 4)
@@ -680,6 +691,13 @@ def temporal_epoch_zone(t):
     return t.events.select("event_id", *(temporal.epoch(x, u).alias(u) for u in ("s", "ms", "us", "ns")), temporal.month_start(x).alias("ms1"), temporal.month_end(x).alias("me"), temporal.convert_time_zone(x, "Europe/Berlin").alias("berlin"))
 
 
+@query("SELECT event_id, date_trunc('second', ts) AS s, date_trunc('millisecond', ts) AS ms, epoch_us(ts) * 1000 AS ns, epoch_us(ts) - epoch_us(date_trunc('day', ts)) AS since FROM events")
+def temporal_units(t):
+    x = F.col("ts")
+    since = temporal.unix_micros(x) - temporal.unix_micros(temporal.truncate(x, "1d"))
+    return t.events.select("event_id", temporal.cast_time_unit(x, "s").alias("s"), temporal.cast_time_unit(x, "ms").alias("ms"), temporal.timestamp(x, "ns").alias("ns"), since.alias("since"))
+
+
 @query("SELECT event_id, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 86400000000.0, 6) AS d, round((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000.0, 6) AS h, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1000000.0::DOUBLE AS s FROM events")
 def temporal_totals(t):
     zero = F.lit("2024-01-01").cast("timestamp_ntz")
@@ -748,6 +766,60 @@ def scan_sql(t):
     return files.scan_sql(t.spark, "SELECT c_mktsegment, count(*) AS n FROM loomwork_customer GROUP BY 1")
 
 
+CUSTOMERS = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def csv_round_trip(t):
+    path = work_path(t.spark, "csv")
+    files.write_csv(t.customer, path, sep=";")
+    return files.scan_csv(t.spark, path, CUSTOMERS, sep=";")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 0")
+def json_round_trip(t):
+    path = work_path(t.spark, "json")
+    files.write_json(t.customer, path)
+    return files.scan_json(t.spark, path, CUSTOMERS).where("c_acctbal > 0")
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def parquet_partitioned(t):
+    path = work_path(t.spark, "parquet")
+    files.write_parquet(t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus").repartition("o_orderstatus", F.pmod("o_orderkey", F.lit(8))), path, ["o_orderstatus"])
+    return files.scan_parquet(t.spark, path).where("o_orderstatus = 'F'")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n FROM part")
+def ipc_sink(t):
+    path = work_path(t.spark, "ipc")
+    return files.write_ipc(t.part, path).agg(F.sum("rows").alias("n"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def arrow_round_trip(t):
+    return files.from_arrow(t.spark, files.to_arrow(t.nation))
+
+
+@query("SELECT '[' || string_agg('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}', ',' ORDER BY r_regionkey) || ']' AS json FROM region")
+def json_array(t):
+    return files.json_array(t.region.select("r_regionkey", "r_name"), ["r_regionkey"])
+
+
+@query("SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01') AS window_start, event_type, count(*) AS n, sum(user_id)::BIGINT AS users FROM events GROUP BY 1, 2")
+def stream_tumbling(t):
+    live = stream.tumbling(stream.event_time(t.live("events"), "ts"), "ts", "6 hours", ["event_type"], {"n": F.count(F.lit(1)), "users": F.sum("user_id")})
+    out = stream.run_to_table(live, work_path(t.spark, "windows"), work_path(t.spark, "progress"))
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_deduplicated(t):
+    live = stream.event_time(t.live("events").select("user_id", "event_type", "ts"), "ts", "3650 days")
+    out = stream.run_to_table(stream.deduplicated(live, ["user_id", "event_type"]), work_path(t.spark, "seen"), work_path(t.spark, "progress"), "append")
+    return out.select("user_id", "event_type")
+
+
 @query("SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling_batch(t):
     out = stream.tumbling(stream.event_time(t.events, "ts"), "ts", "6 hours", ["event_type"], {"n": F.count(F.lit(1))})

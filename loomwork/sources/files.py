@@ -6,6 +6,7 @@ import uuid
 from typing import Any
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,8 +66,10 @@ def write_ipc(df: DataFrame, path: str, stream: bool = False) -> DataFrame:
     def run(batches):
         held = list(batches)
         if held:
-            name = f"{path}/{uuid.uuid4().hex}.{'arrows' if stream else 'arrow'}"
-            with pa.OSFile(name, "wb") as f, (pa.ipc.new_stream if stream else pa.ipc.new_file)(f, held[0].schema) as w:
+            store, folder = FileSystem.from_uri(path)
+            store.create_dir(folder, recursive=True)
+            name = f"{folder}/{uuid.uuid4().hex}.{'arrows' if stream else 'arrow'}"
+            with store.open_output_stream(name) as f, (pa.ipc.new_stream if stream else pa.ipc.new_file)(f, held[0].schema) as w:
                 for b in held:
                     w.write_batch(b)
             yield pa.RecordBatch.from_pydict({"file": [name], "rows": [sum(b.num_rows for b in held)]})

@@ -39,7 +39,10 @@ class SqliteReader(DataSourceReader):
         step = max(1, -(-(high - low) // n))
         cuts = list(range(low + step, high, step))
         edges = [None, *cuts, None]
-        return [InputPartition(" AND ".join(x for x in (f"{o['key']} >= {a}" if a is not None else "", f"{o['key']} < {b}" if b is not None else "") if x)) for a, b in zip(edges, edges[1:])]
+        ranges = [" AND ".join(x for x in (f"{o['key']} >= {a}" if a is not None else "", f"{o['key']} < {b}" if b is not None else "") if x) for a, b in zip(edges, edges[1:])]
+        if len(ranges) > 1:
+            ranges[0] = f"({ranges[0]} OR {o['key']} IS NULL)"
+        return [InputPartition(x) for x in ranges]
 
     def read(self, partition):
         where = f" WHERE {partition.value}" if partition.value else ""

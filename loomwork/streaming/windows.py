@@ -28,6 +28,17 @@ def deduplicated(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
+def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there now into Parquet at `path`; in complete mode a batch replaces the last one. A batch run again writes the same part."""
+
+    def put(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={k}")
+
+    df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    return out.select(*df.columns)
+
+
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append"):
     """Runs a stream over what is there now into a memory table; waits for the end."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -145,9 +145,9 @@ def test_files_round_trip(spark, tmp_path):
 def test_sqlite_source(spark, tmp_path):
     with sqlite3.connect(f"{tmp_path}/x.db") as c:
         c.execute("CREATE TABLE e (id INTEGER, name TEXT, pay REAL)")
-        c.executemany("INSERT INTO e VALUES (?, ?, ?)", [(i, f"n{i}", i / 2) for i in range(100)])
+        c.executemany("INSERT INTO e VALUES (?, ?, ?)", [*((i, f"n{i}", i / 2) for i in range(99)), (None, "none", 1.5)])
     out = sqlite.scan_sqlite(spark, f"{tmp_path}/x.db", "SELECT * FROM e", key="id", low=0, high=100, parts=4)
-    assert out.count() == 100 and dict(out.dtypes) == {"id": "bigint", "name": "string", "pay": "double"}
+    assert out.count() == 100 and out.where("id is null").count() == 1 and dict(out.dtypes) == {"id": "bigint", "name": "string", "pay": "double"}
 
 
 def test_plans(spark):
