@@ -27,9 +27,13 @@ ASIDE = frozenset("nav footer aside form menu dialog fieldset label input".split
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "html", "body", "title", "legend", "summary", "dd", "dt", "li"}
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|side-?bar\w*|footer|foot|header|masthead|comments?|comment-\w+|disqus|replies|reply|respond|discussion|"
-    r"notice\w*|cookie\w*|consent|gdpr|popup|modal|overlay|subscribe|newsletter|signup|login|share|sharing|social|related|recommend\w*|widget|toolbar|pager|pagination|copyright|legal|disclaimer|alert|form|search|tags|meta|byline)(?:$|[\s_-])",
+    r"notice\w*|cookie\w*|consent|gdpr|popup|modal|overlay|subscribe|newsletter|signup|login|share|sharing|social|related|recommend\w*|widget|toolbar|pager|pagination|copyright|legal|disclaimer|alert|form|search|tags|meta|byline)(?=$|[\s_-])",
     re.I,
 )
+#: Within an article these are parts of it.
+OWN_PARTS = frozenset("header tags meta byline".split())
+#: Articles of these classes are not the page's.
+OTHER_ARTICLES = frozenset("comment reply ad advert advertisement sponsored promo".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؟]")
 _WHITE = re.compile(r"\s+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -127,10 +131,14 @@ def read_blocks(page: str) -> list[tuple[tuple, str, int]]:
 
 def _aside(path: tuple, within: int) -> bool:
     """Whether an element of the path below `within` is a part of the page that is no article."""
+    inside = False
     for tag, name, _ in path[within:]:
-        if tag in ASIDE or (tag == "header" and not any(t in ("article", "main") for t, _, _ in path)):
+        inside = inside or tag in ("article", "main")
+        if tag in ASIDE or (tag == "header" and not inside) or (tag == "article" and OTHER_ARTICLES & set(name.lower().split())):
             return True
-        if name and tag not in ("html", "body", "article", "main") and NAMES.search(name):
+        if tag in ("html", "body", "article", "main"):
+            continue
+        if any(not ((inside or tag in HEADINGS) and x.group().strip(" \t\n_-").lower() in OWN_PARTS) for x in NAMES.finditer(name)):
             return True
     return False
 

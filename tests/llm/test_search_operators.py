@@ -183,6 +183,9 @@ PAGE = """<html><head><title>t</title><script>var a = "</p>";</script></head><bo
 
 def test_pages(spark):
     assert html_text.main_text(PAGE) == "HeadA\nFirst paragraph, long enough. It has text & more.\nSecond one. link ok, fine text <here>."
+    own = "<header class='entry-header'><h1 class='section-header'>Head</h1><p class='byline'>By A</p></header><p>Some text, of some length.</p>"
+    other = "<p class='header comments'>no</p></article><article class='comment'><p>A much longer text, by a reader. It says, well, nothing at all.</p></article>"
+    assert html_text.main_text(f"<div class='page header'>Top</div><article>{own}{other}") == "Head\nBy A\nSome text, of some length."
     assert [html_text.main_text(x) for x in (None, "", "<p>", "plain", "<p>a &am", "<p>a &amp")] == ["", "", "", "plain", "a &am", "a &"]
     rows = [(1, "u", PAGE, 7), (1, "u", PAGE, 7), (2, None, None, 7), (None, "x", "<p>" + "word, " * 50_000, 7)]
     got = html_text.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")).collect()
