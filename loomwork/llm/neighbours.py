@@ -69,8 +69,8 @@ def probes(x: np.ndarray, table: int) -> np.ndarray:
     return np.packbits(scores >= edge[:, None], axis=1)
 
 
-def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that take part and their vectors in double precision."""
+def _vectors(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that take part and their vectors in double precision; those of the width given, else of the commonest."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     at = column.offsets.to_numpy()
@@ -80,7 +80,7 @@ def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     valid = np.asarray(column.is_valid()) & (sizes > 0)
     if not valid.any():
         return np.zeros(0, np.int64), np.zeros((0, 1))
-    width = int(np.bincount(sizes[valid]).argmax())
+    width = width or int(np.bincount(sizes[valid]).argmax())
     rows = np.flatnonzero(valid & (sizes == width))
     x = flat[at[rows][:, None] + np.arange(width)]
     good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
@@ -116,8 +116,8 @@ def _scan(shared, k: int, exact: bool):
         best = Best(len(ids), k)
         for whole in batches:
             for b in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
-                rows, x = _vectors(b.column(1))
-                if not len(rows) or x.shape[1] != queries.shape[1]:
+                rows, x = _vectors(b.column(1), queries.shape[1])
+                if not len(rows):
                     continue
                 own = b.column(0).to_numpy(zero_copy_only=False)[rows]
                 size = np.sqrt(np.einsum("ij,ij->i", x, x))

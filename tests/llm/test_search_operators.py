@@ -172,6 +172,9 @@ def test_neighbour_edges(spark):
     got = neighbours.nearest(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 2), (0, 7), (0, 50), (50, 7), (50, 0), (50, 1), (50, 2)]
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
+    mixed = spark.createDataFrame([(k, [1.0, k / 10, 0.5][: 2 if k % 10 == 0 else 3]) for k in range(51)], "vec_id long, embedding array<double>").coalesce(1)
+    got = neighbours.nearest(mixed, mixed.where("vec_id % 50 = 0")).where("query_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [10, 20, 30, 40, 50]  # the other length takes no part, be it the commoner
 
 
 PAGE = """<html><head><title>t</title><script>var a = "</p>";</script></head><body><div id="header">Site name</div>
