@@ -1,14 +1,19 @@
 """Benchmark decontamination: edit-distance search for benchmark items inside documents.
 
-Texts are compared lower-cased, with runs of ASCII characters other than letters and digits as one space.
+Texts are compared lower-cased, with runs of ASCII characters other than letters and digits as one space, character by character.
 
-* *Windows.* A word trigram (all words, where an item has fewer) that a document shares with an item gives a place where a copy of the
-  item may begin. An item-sized window is taken at each.
-* *CGK embedding.* A random walk over a string's characters (advance or repeat, by a random bit for step and character) maps
-  edit distance to Hamming distance. Items and windows are walked with the same bits, WALKS times.
-* *Bit sampling.* From each walk SAMPLES signatures of BITS sampled steps are looked up among the items of that length class;
-  a window collides with its item if one of the 64 agrees: at a Hamming distance of 0.5 of the steps with probability 0.9998, at 0.7 with 0.83.
-* *Verification.* Collisions are checked by exact edit distance of the item against any substring of the window's surroundings.
+* *CGK embedding.* A random walk over a text's characters (advance or repeat, by a random bit for step and character) maps
+  edit distance to Hamming distance. Walks begin at every word of items and documents, and at every character of scripts without
+  spaces and of very long words; all are walked with the same bits, WALKS times.
+* *Bit sampling.* From each walk SAMPLES signatures of BITS sampled steps, spread over it, are looked up among those of all items: the tables alone
+  name the item, and the place in it, that the text at hand may be a copy of. Walks are STEPS long, not as long as the item: over
+  a whole item with an edit every few characters hardly any walk stays in step.
+* *Verification.* Of each collision the item's piece of up to 64 characters around it is compared first (an item within the
+  tolerance has a piece within it), then the exact edit distance of the item against any substring of the surroundings.
+
+Items of fewer than SHORT characters are too short for such walks: one more piece than they may have edits is looked up verbatim at
+every character, which misses none. In scripts with spaces they count only as words of their own:
+a letter joined to their ends counts as an edit.
 
 The benchmark is read in blocks of at most MOST_ITEMS items and MOST_CHARS characters, which bounds what is broadcast.
 """
@@ -31,9 +36,12 @@ from .common import prepare, text_column, trimmed
 
 #: An item is found where its edit distance is at most this share of its length.
 TOLERANCE = 0.2
-GRAM = 3
-WALKS, SAMPLES, BITS = 8, 8, 3
-CLASS = 32
+WALKS, SAMPLES, BITS, STEPS = 2, 4, 8, 32
+#: Characters of a piece, edits at which it is given up, and how far it may be off its place; the length under which an item is short.
+PIECE, PIECE_SHARE, DRIFT, SHORT = 64, 0.28, 20, 48
+#: Characters of a word after which each is a place of its own.
+LONG_WORD = 16
+CHUNK = 1 << 13
 MOST_ITEMS, MOST_CHARS = 20_000, 16_000_000
 
 _GAP = np.zeros(256, bool)
@@ -70,43 +78,140 @@ def edit_search(item: str, text: str) -> tuple[int, int]:
     return best, at
 
 
-_BITS = np.stack([np.random.default_rng(1000 + w).integers(0, 2, (1 << 12, 256), np.int8) for w in range(WALKS)])
-
-
-def walks(rows: list[bytes], steps: int) -> np.ndarray:
-    """CGK embeddings of byte strings: walks by rows by steps. All strings and walks advance together, a step at a time."""
-    n, lengths = len(rows), np.array([len(r) for r in rows])
-    width = int(lengths.max()) + 1
-    table = np.zeros((n, width), np.uint8)
-    for k, r in enumerate(rows):
-        table[k, : len(r)] = np.frombuffer(r, np.uint8)
-    line, flat = np.tile(np.arange(n) * width, WALKS), table.ravel()
-    last, walk = np.tile(lengths, WALKS), np.repeat(np.arange(WALKS) * 256, n)
-    at, out = np.zeros(WALKS * n, np.int64), np.empty((steps, WALKS * n), np.uint8)
-    for j in range(steps):
-        c = flat[line + at]
-        out[j] = c
-        at += _BITS[:, j % _BITS.shape[1]].ravel()[walk + c]
-        np.minimum(at, last, out=at)
-    return out.T.reshape(WALKS, n, steps)
-
-
-def _class(length: int) -> int:
-    return length // CLASS
+_BITS = np.stack([np.random.default_rng(1000 + w).integers(0, 2, (STEPS, 256), np.int64) for w in range(WALKS)])
+#: The sampled steps, one of each eighth of a walk.
+_PICKS = [[np.arange(BITS) * STEPS // BITS + np.random.default_rng(7919 * w + j).integers(0, STEPS // BITS, BITS) for j in range(SAMPLES)] for w in range(WALKS)]
+#: Scripts that are written without spaces: Thai to Burmese, Khmer, kana and Han.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def symbols(code: np.ndarray) -> np.ndarray:
+    """A byte for each character: ASCII as it is, others hashed to the upper half."""
+    return np.where(code < 128, code, 128 + (code * np.uint32(0x9E3779B1) >> np.uint32(25))).astype(np.uint8)
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def unspaced(code: np.ndarray) -> np.ndarray:
+    return np.logical_or.reduce([(code >= a) & (code <= b) for a, b in _UNSPACED])
+
+
+def places(code: np.ndarray) -> np.ndarray:
+    """Where walks begin."""
+    n = len(code)
+    gap = code == 32
+    begins = ~gap
+    begins[1:] &= gap[:-1]
+    at = np.flatnonzero(begins)
+    if not len(at):
+        return at
+    ends = np.append(at[1:], n)
+    more = [at]
+    for k in np.flatnonzero(ends - at > LONG_WORD).tolist():
+        more.append(np.arange(at[k] + LONG_WORD, ends[k]))
+    if (code >= _UNSPACED[0][0]).any():
+        more.append(np.flatnonzero(unspaced(code)))
+    if len(more) > 1:
+        at = np.unique(np.concatenate(more))
+    return at[~gap[at]]
+
+
+def signatures(symbol: np.ndarray, begin: np.ndarray):
+    """Yields, for each walk and sample, the signatures of all walks and the last character that each was drawn from. All walks advance together, a step at a time."""
+    for w in range(WALKS):
+        at = begin.copy()
+        seen, spots = [], []
+        for j in range(STEPS):
+            c = symbol.take(at, mode="clip")
+            seen.append(c)
+            spots.append(at.copy())
+            at += _BITS[w, j].take(c)
+        for k, picks in enumerate(_PICKS[w]):
+            out = np.empty((len(begin), BITS), np.uint8)
+            for b, j in enumerate(picks):
+                out[:, b] = seen[j]
+            key = out.view(np.uint64).ravel() * np.uint64(0x9E3779B97F4A7C15) + np.uint64((w * SAMPLES + k) * 0xD1342543DE82EF95 % (1 << 64))
+            key ^= key >> np.uint64(29)
+            key *= np.uint64(0xBF58476D1CE4E5B9)
+            yield key, spots[picks[-1]]
+
+
+def grams(code: np.ndarray, size: int) -> np.ndarray:
+    """Keys of all runs of `size` characters."""
+    n = max(0, len(code) - size + 1)
+    key = np.full(n, size, np.uint64)
+    for k in range(size):
+        key = (key ^ code[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def piece_distances(pattern: np.ndarray, which: np.ndarray, size: np.ndarray, text: np.ndarray, begin: np.ndarray, span: int) -> np.ndarray:
+    """Smallest edit distance of each pattern (a row of at most 64 symbols, `size` of them) to any substring of `span` symbols from `begin` (Myers's bit vectors, side by side)."""
+    one = np.uint64(1)
+    masks = np.zeros((len(pattern), 256), np.uint64)
+    row = np.arange(len(pattern))
+    for k in range(pattern.shape[1]):
+        live = size > k
+        masks[row[live], pattern[live, k]] |= np.uint64(1 << k)
+    flat, base, top = masks.ravel(), which * 256, (size[which] - 1).astype(np.uint64)
+    n = len(which)
+    up, down, score = np.full(n, ~np.uint64(0)), np.zeros(n, np.uint64), top + one
+    best, at = score.copy(), begin.copy()
+    xv, xh, ph = np.empty((3, n), np.uint64)
+    for _ in range(span):
+        eq = flat.take(base + text.take(at, mode="clip"))
+        at += 1
+        np.bitwise_or(eq, down, out=xv)
+        np.bitwise_and(eq, up, out=xh)
+        xh += up
+        xh ^= up
+        xh |= eq
+        np.bitwise_or(xh, up, out=ph)
+        np.invert(ph, out=ph)
+        ph |= down
+        xh &= up  # the falls
+        score += np.right_shift(ph, top, out=eq).__iand__(one)
+        score -= np.right_shift(xh, top, out=eq).__iand__(one)
+        np.minimum(best, score, out=best)
+        ph <<= one
+        xh <<= one
+        np.bitwise_and(ph, xv, out=down)
+        np.bitwise_or(xv, ph, out=up)
+        np.invert(up, out=up)
+        up |= xh
+    return best.astype(np.int64)
 
 
-def _steps(kind: int) -> int:
-    """Two steps a character of the shortest string of the class cover it on average."""
-    return max(8, 2 * kind * CLASS)
+@dataclass
+class Table:
+    """Sorted keys, each with an item and a place in it, behind a bitmap."""
 
+    keys: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+    seen: np.ndarray
+    shift: int
 
-def signatures(embedded: np.ndarray, kind: int, walk: int) -> np.ndarray:
-    """rows by SAMPLES signatures: the embedded characters at sampled steps."""
-    picks = np.random.default_rng(walk * 7919 + kind).integers(0, _steps(kind), (SAMPLES, BITS))
-    out = np.zeros((len(embedded), SAMPLES), np.uint32)
-    for j in range(BITS):
-        out |= embedded[:, picks[:, j]].astype(np.uint32) << np.uint32(8 * j)
-    return out
+    @classmethod
+    def of(cls, keys, item, place) -> Table:
+        keys, item, place = np.concatenate(keys), np.concatenate(item).astype(np.int32), np.concatenate(place).astype(np.int32)
+        order = np.argsort(keys, kind="stable")
+        shift = 64 - min(25, max(16, int(len(keys)).bit_length() + 4))
+        seen = np.zeros(1 << (64 - shift), bool)
+        seen[(keys >> np.uint64(shift)).astype(np.int64)] = True
+        return cls(keys[order], item[order], place[order], seen, shift)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index into keys, item, place) of all that agree."""
+        spots = np.flatnonzero(self.seen[(keys >> np.uint64(self.shift)).astype(np.int64)])
+        lo, hi = np.searchsorted(self.keys, keys[spots], "left"), np.searchsorted(self.keys, keys[spots], "right")
+        some = hi > lo
+        spots, lo, n = spots[some], lo[some], (hi - lo)[some]
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(spots, n), self.item[at], self.place[at]
 
 
 @dataclass
@@ -114,135 +219,140 @@ class Index:
     """A block of items, ready to be looked up."""
 
     ids: list[int]
-    texts: list[bytes]
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-    tables: dict[tuple[int, int, int], dict[int, list[int]]] = field(default_factory=dict)
+    texts: list[str]
+    symbol: np.ndarray
+    begin: np.ndarray
+    length: np.ndarray
+    #: Whether an item begins, and ends, in a script with spaces.
+    edges: np.ndarray
+    walked: Table | None = None
+    short: dict[int, Table] = field(default_factory=dict)
 
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> Index:
-        kept = [(i, t) for i, text in items if (t := normal(text))]
-        out = cls([i for i, _ in kept], [t for _, t in kept])
-        if not kept:
-            return out
-        column = pa.array([t.decode() for t in out.texts])
-        data, offsets = K.text_buffer(column)
-        s, e, at = K.word_spans(data, offsets, _GAP)
-        words = K.span_hashes(data, s, e)[0]
-        for width in range(1, GRAM + 1):
-            own = [k for k in range(len(kept)) if min(GRAM, at[k + 1] - at[k]) == width]
-            hashes, item, place = [], [], []
-            for k in own:
-                h, _ = K.shingle_hashes(words[at[k] : at[k + 1]], np.array([0, at[k + 1] - at[k]]), width)
-                hashes.append(h)
-                item.append(np.full(len(h), k))
-                place.append(np.arange(len(h)))
-            if own:
-                hashes, item, place = map(np.concatenate, (hashes, item, place))
-                order = np.argsort(hashes, kind="stable")
-                seen = np.zeros(1 << 16, bool)
-                seen[(hashes >> K.U64(48)).astype(np.int64)] = True
-                out.seeds[width] = hashes[order], item[order], place[order], seen
-        by_class = defaultdict(list)
-        for k, t in enumerate(out.texts):
-            by_class[_class(len(t))].append(k)
-        for kind, own in by_class.items():
-            embedded = walks([out.texts[k] for k in own], _steps(kind))
-            for w in range(WALKS):
-                found = signatures(embedded[w], kind, w)
-                for j in range(SAMPLES):
-                    table = out.tables.setdefault((kind, w, j), {})
-                    for k, x in zip(own, found[:, j].tolist()):
-                        table.setdefault(x, []).append(k)
+        kept = [(i, t.decode()) for i, text in items if (t := normal(text))]
+        length = np.array([len(t) for _, t in kept], np.int64)
+        # A space before each item and after it: those of short items are compared.
+        code = codes("".join(f" {t} " for _, t in kept))
+        begin = np.cumsum(length + 2) - length - 1
+        out = cls([i for i, _ in kept], [t for _, t in kept], symbols(code), begin, length, ~unspaced(code[np.stack([begin, begin + length - 1])]))
+        at = places(code)
+        if len(at):
+            item = np.searchsorted(begin, at, "right") - 1
+            at, item = at[length[item] >= SHORT], item[length[item] >= SHORT]
+        if len(at):
+            keys, items_of, place = [], [], []
+            for key, last in signatures(out.symbol, at):
+                whole = last < begin[item] + length[item]
+                keys.append(key[whole])
+                items_of.append(item[whole])
+                place.append((at - begin[item])[whole])
+            out.walked = Table.of(keys, items_of, place)
+        pieces = defaultdict(lambda: ([], [], []))
+        for k in np.flatnonzero(length < SHORT).tolist():
+            n, m = int(TOLERANCE * length[k]) + 1, int(length[k])
+            if n == 1:  # as words of their own
+                starts, size = [-int(out.edges[0, k])], m + int(out.edges[:, k].sum())
+            else:
+                starts, size = [j * m // n for j in range(n)], m // n
+            own = grams(code[begin[k] - 1 : begin[k] + m + 1], size)
+            for j in starts:
+                for x, v in zip(pieces[size], (own[j + 1], k, j)):
+                    x.append([v])
+        out.short = {size: Table.of([np.array(x, np.uint64) for x in keys], item, place) for size, (keys, item, place) in pieces.items()}
         return out
 
-    def windows(self, words: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
-        """(row, item, word) of all places where a copy of the item may begin; words are counted from the row's first."""
-        rows, items, diagonals = [], [], []
-        for width, (keys, item, place, seen) in self.seeds.items():
-            h, hat = K.shingle_hashes(words, at, width)
-            spots = np.flatnonzero(seen[(h >> K.U64(48)).astype(np.int64)])
-            lo, hi = np.searchsorted(keys, h[spots], "left"), np.searchsorted(keys, h[spots], "right")
-            some = hi > lo
-            spots, lo, hi = spots[some], lo[some], hi[some]
-            if not len(spots):
-                continue
-            n = hi - lo
-            which = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            spots = np.repeat(spots, n)
-            row = np.searchsorted(hat, spots, "right") - 1
-            rows.append(row)
-            items.append(item[which])
-            diagonals.append(spots - hat[row] - place[which])
-        if not rows:
-            return []
-        row, item, diagonal = map(np.concatenate, (rows, items, diagonals))
-        order = np.lexsort((diagonal, item, row))
-        row, item, diagonal = row[order], item[order], diagonal[order]
-        return list(dict.fromkeys(zip(row.tolist(), item.tolist(), diagonal.tolist())))
+    def candidates(self, code: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, item, place in the item) of all collisions, each once."""
+        found = []
+        if self.walked is not None:
+            at = places(code)
+            for k in range(0, len(at), CHUNK):
+                begin = at[k : k + CHUNK]
+                for key, _ in signatures(symbol, begin):
+                    spot, item, place = self.walked.find(key)
+                    if len(spot):
+                        found.append((begin[spot], item, place))
+        for size, table in self.short.items():
+            found.append(table.find(grams(code, size)))
+        if not found:
+            return (np.zeros(0, np.int64),) * 3
+        at, item, place = (np.concatenate(x).astype(np.int64) for x in zip(*found))
+        # Of one diagonal, one collision for each piece of the item.
+        key = np.stack([item, at - place, self.pieces(item, place)])
+        order = np.lexsort(key)
+        key = key[:, order]
+        new = np.ones(len(order), bool)
+        new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+        order = order[new]
+        return at[order], item[order], place[order]
+
+    def pieces(self, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Where in its item the piece around a place begins; a short item is one piece, with the spaces around it if its script has them."""
+        m = self.length[item]
+        return np.where(m < SHORT, -self.edges[0, item].astype(np.int64), np.maximum(0, np.minimum(place // PIECE * PIECE, m - PIECE)))
+
+    def near(self, symbol: np.ndarray, at: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether the piece around each collision is near the text there."""
+        out = np.zeros(len(at), bool)
+        start = self.pieces(item, place)
+        short = self.length[item] < SHORT
+        size = np.where(short, self.length[item] + self.edges[:, item].sum(axis=0), np.minimum(self.length[item], PIECE))
+        most = np.where(short, (TOLERANCE * self.length[item]).astype(np.int64), (PIECE_SHARE * size).astype(np.int64) + 1)
+        for k in range(0, len(at), CHUNK):
+            part = slice(k, k + CHUNK)
+            first, which = np.unique(self.begin[item[part]] + start[part] << 8 | size[part], return_inverse=True)
+            own, width = first >> 8, first & 255
+            pattern = self.symbol.take(own[:, None] + np.arange(int(width.max())), mode="clip")
+            out[part] = piece_distances(pattern, which, width, symbol, np.maximum(0, at[part] - place[part] + start[part] - DRIFT), int(width.max()) + 2 * DRIFT) <= most[part]
+        return out
 
     def find(self, column: pa.Array):
         """Yields (row, item id, distance, item's length) for the rows of a text column, the smallest distance of each item."""
         data, offsets = K.text_buffer(pc.utf8_lower(column.cast(pa.large_string())))
         for first, stop in K.blocks(offsets):
             part = offsets[first : stop + 1]
-            own = data[part[0] : part[-1]]
-            s, e, at = K.word_spans(own, part - part[0], _GAP)
-            if not len(s) or not self.ids:
+            if not self.ids or part[-1] == part[0]:
                 continue
-            words = K.span_hashes(own, s, e)[0]
-            raw = own.tobytes()
-            pending = defaultdict(list)
-            for row, item, word in self.windows(words, at):
-                size = len(self.texts[item])
-                slack = int(TOLERANCE * size) + 1
-                a = at[row] + max(0, word)
-                text = self.words(raw, s, e, a, at[row + 1], size + slack)
-                pending[_class(size)].append((row, text[:size], item, self.back(raw, s, e, a, at[row], slack) + text))
+            text, rows = joined(data[part[0] : part[-1]], part - part[0])
+            code = codes(text)
+            symbol = symbols(code)
+            at, item, place = self.candidates(code, symbol)
+            close = self.near(symbol, at, item, place)
+            at, item, place = at[close], item[close], place[close]
+            row = np.searchsorted(rows, at + (place < 0), "right") - 1
+            # Neighbouring diagonals are searched once.
+            diagonal = at - place
+            order = np.lexsort((diagonal, item, row))
             found: dict[tuple[int, int], int] = {}
-            kinds = list(pending)
-            embedded = walks([x[1] for k in kinds for x in pending[k]], max(map(_steps, kinds))) if kinds else None
-            first_of = 0
-            for kind in kinds:
-                windows = pending[kind]
-                seeded, hit = [x[2] for x in windows], np.zeros(len(windows), bool)
-                for w in range(WALKS):
-                    marks = signatures(embedded[w, first_of : first_of + len(windows)], kind, w)
-                    for j in range(SAMPLES):
-                        table = self.tables[kind, w, j]
-                        hit |= [item in table.get(x, ()) for item, x in zip(seeded, marks[:, j].tolist())]
-                first_of += len(windows)
-                done = set()
-                for k in np.flatnonzero(hit).tolist():
-                    row, _, item, around = windows[k]
-                    if (row, item, around) in done or found.get((row, item)) == 0:
-                        continue
-                    done.add((row, item, around))
-                    text = self.texts[item].decode()
-                    distance, _ = edit_search(text, around.decode(errors="replace"))
-                    if distance <= TOLERANCE * len(text) and distance < found.get((row, item), 1 << 60):
-                        found[row, item] = distance
-            for (row, item), distance in sorted(found.items()):
-                yield first + row, self.ids[item], distance, len(self.texts[item].decode())
-
-    @staticmethod
-    def words(raw, s, e, a, end, size) -> bytes:
-        out, have = [], 0
-        while a < end and have < size:
-            w = raw[s[a] : e[a]]
-            out.append(w)
-            have += len(w) + 1
-            a += 1
-        return b" ".join(out)
-
-    @staticmethod
-    def back(raw, s, e, a, first, size) -> bytes:
-        out, have = [], 0
-        while a > first and have < size:
-            a -= 1
-            w = raw[s[a] : e[a]]
-            out.append(w)
-            have += len(w) + 1
-        return b"".join(x + b" " for x in reversed(out))
+            last, until = None, 0
+            for r, i, d in zip(row[order].tolist(), item[order].tolist(), diagonal[order].tolist()):
+                slack = int(TOLERANCE * self.length[i]) + 1
+                if (r, i) == last and d <= until or found.get((r, i)) == 0:
+                    continue
+                last, until = (r, i), d + slack
+                own = self.texts[i]
+                distance, _ = edit_search(own, text[max(int(rows[r]), d - slack) : min(int(rows[r + 1]) - 1, until + len(own) + slack)])
+                if distance <= TOLERANCE * len(own) and distance < found.get((r, i), 1 << 60):
+                    found[r, i] = distance
+            for (r, i), distance in sorted(found.items()):
+                yield first + r, self.ids[i], distance, len(self.texts[i])
+
+
+def joined(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray]:
+    """The lower-cased rows as one text, compared characters alone and a space before and after each, and where each row begins (and the text ends)."""
+    rows = offsets + np.arange(len(offsets))
+    raw = np.zeros(len(data) + len(offsets), np.uint8)
+    word = np.ones(len(raw), bool)
+    word[rows] = False
+    raw[word] = data
+    word = ~_GAP[raw]
+    keep = word.copy()
+    keep[0] = True
+    keep[1:] |= word[:-1]  # one space after a word
+    begin = keep & (raw & 0xC0 != 0x80)
+    raw[~word] = 32
+    return raw[keep].tobytes().decode(errors="replace"), np.cumsum(begin)[rows]
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[Index]:

@@ -80,6 +80,35 @@ def test_recall_of_edited_items():
         assert sum((k, i) in found for k, i in enumerate(want)) >= 0.95 * len(want)
 
 
+def test_recall_up_to_the_tolerance():
+    """Characters edited evenly, up to the tolerance itself; scripts without spaces; items of a few words."""
+    draw = random.Random(12)
+    table = [(r["item_id"], r["text"]) for r in pq.read_table(f"{DATA}/benchmark.parquet").to_pylist()]
+    words = [w for _, t in table for w in t.split()]
+    han = [(1000 + k, "".join(chr(draw.randrange(0x4E00, 0x5E00)) for _ in range(draw.randrange(12, 90)))) for k in range(30)]
+    short = [(2000 + k, " ".join("".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(4, 9))) for _ in range(draw.randint(1, 3)))) for k in range(30)]
+    index = decontaminate.Index.of([*table, *han, *short])
+    for items, fill, around in ((table, "abcdefghij", " ".join(words[:60])), (han, [chr(0x6000 + k) for k in range(99)], "".join(chr(0x7000 + k) for k in range(60))), (short, "qrstuvw", " ".join(words[:60]))):
+        sep = "" if items is han else " "
+        texts, want = [], []
+        for i, t in items:
+            a = decontaminate.normal(t).decode()
+            for rate in (0.0, 0.1, 0.15, 0.2, 0.22):
+                edited = "".join(x for c in t for x in ([c], [], [draw.choice(fill)], [c, draw.choice(fill)])[draw.randrange(1, 4) if draw.random() < rate else 0])
+                b = decontaminate.normal(edited).decode()
+                padded = decontaminate.edit_search(f" {a} ", f" {around} {b} {around} ")[0] if items is short else 0
+                if decontaminate.edit_search(a, b)[0] <= 0.2 * len(a) and padded <= 0.2 * len(a):
+                    texts.append(sep.join([around, edited, around]))
+                    want.append((i, len(a)))
+        found = {(row, item): (distance, size) for row, item, distance, size in index.find(pa.array(texts))}
+        assert len(want) > 60
+        assert sum((k, i) in found for k, (i, _) in enumerate(want)) >= 0.97 * len(want)
+        for k, (i, size) in list(enumerate(want))[:40]:
+            if (k, i) in found:
+                whole = decontaminate.normal(texts[k]).decode()
+                assert found[k, i] == (plain_distance(decontaminate.normal(dict(items)[i]).decode(), whole), size)
+
+
 def test_exact_leaks_of_the_tables(spark):
     docs, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
     texts = [(r.doc_id, decontaminate.normal(r.text)) for r in docs.collect()]
