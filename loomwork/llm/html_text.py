@@ -2,8 +2,8 @@
 
 A page is read once into blocks of text, each with its root-to-leaf tag path (tags with their class and id). Text length,
 punctuation and link text are added up per path; the paths' ratios are smoothed along the page, fused into one score and
-thresholded. Content is what lies under the element that holds most of the accepted paths' text, without the parts
-that are no article by their tag or name (navigation, forms, comments and such).
+thresholded. Content is every accepted path's text with the headings next to it, without the parts that are no article by
+their tag or name (navigation, forms, comments and such); of pages whose text is mostly in <article> or <main>, what is in those.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ OWN_PARTS = frozenset("header tags meta byline".split())
 #: Articles of these classes are not the page's.
 OTHER_ARTICLES = frozenset("comment reply ad advert advertisement sponsored promo".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؟]")
+#: The score of 25 characters with a mark.
+SENTENCE = 50.0
 _WHITE = re.compile(r"\s+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -159,6 +161,15 @@ def path_scores(blocks) -> np.ndarray:
     return np.sqrt(smooth(length) * length) * (1 + np.sqrt(smooth(dots) * dots)) * np.maximum(free, 0) ** 2
 
 
+def threshold(score: np.ndarray, blocks) -> float:
+    """A quarter of the score of the page's middle 40 characters; that of a short sentence is always enough."""
+    return min(SENTENCE, 0.25 * float(np.median(np.repeat(score, [1 + len(t) // 40 for _, t, _ in blocks]))))
+
+
+def in_article(path: tuple) -> bool:
+    return any(tag in ("article", "main") for tag, _, _ in path)
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks joined by newlines; empty for a null page or one without text."""
     blocks = [b for b in read_blocks(page or "")]
@@ -166,26 +177,17 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     score = path_scores(blocks)
-    good = score >= 0.5 * np.median(np.repeat(score, [1 + len(t) // 40 for _, t, _ in blocks])) * 0.5
-    weight: dict[tuple, int] = {}
-    for (path, text, _), ok in zip(blocks, good):
-        if ok:
-            for k in range(len(path) + 1):
-                weight[path[:k]] = weight.get(path[:k], 0) + len(text)
-    top = max(weight.values(), default=0)
-    root = max((p for p, w in weight.items() if w >= 0.8 * top and (not p or p[-1][0] not in ("p", "li", "td"))), key=len, default=())
-    articles = [k for k, (tag, _, _) in enumerate(root) if tag in ("article", "main")]
-    if articles:
-        root = root[: articles[-1] + 1]
-    named = bool(articles)
-    out = []
-    for (path, text, links), ok in zip(blocks, good):
-        if path[: len(root)] != root:
-            continue
-        heading = bool(path) and path[-1][0] in HEADINGS
-        if ok or named or heading or links < 0.5 * len(text):
-            out.append(text)
-    return "\n".join(out)
+    good = score >= threshold(score, blocks)
+    inside = np.array([in_article(path) for path, _, _ in blocks])
+    size = np.array([len(t) for _, t, _ in blocks]) * good
+    within = size @ inside * 2 >= size.sum() and bool(inside.any())
+    keep = (good | inside) if within else good.copy()
+    if within:
+        keep &= inside
+    heads = [k for k, (path, _, _) in enumerate(blocks) if path and path[-1][0] in HEADINGS]
+    for k in reversed(heads):  # a heading stays with what follows it
+        keep[k] |= k + 1 < len(blocks) and keep[k + 1]
+    return "\n".join(text for (_, text, _), ok in zip(blocks, keep) if ok)
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -225,6 +225,12 @@ def test_pages(spark):
     assert html_text.page_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_keep_all_accepted_paths():
+    long = "A paragraph of the text, which goes on for a while, as such do. It has more than one sentence, too, and is the longest. " * 5
+    page = f"<div id=top><a href=/>Home</a></div><div id=content><h1>Headline</h1><div class=lead>A lead of one sentence, short.</div><div class=text><p>{long}</p><p>{long}</p></div></div><div id=x><h3>More</h3><a href=/a>Other page</a></div>"
+    assert html_text.main_text(page) == "\n".join(["Headline", "A lead of one sentence, short.", long.strip(), long.strip()])
+
+
 def test_pages_of_the_table(spark):
     import html
     import re
