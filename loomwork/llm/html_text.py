@@ -37,6 +37,10 @@ OTHER_ARTICLES = frozenset("comment reply ad advert advertisement sponsored prom
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؟]")
 #: The score of 25 characters with a mark.
 SENTENCE = 50.0
+#: What the score of a part outside an article counts if it is called as boilerplate is.
+NAMED = 0.1
+#: Elements of ASIDE that may be around a whole page.
+WRAPS = frozenset("form fieldset".split())
 _WHITE = re.compile(r"\s+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -131,20 +135,40 @@ def read_blocks(page: str) -> list[tuple[tuple, str, int]]:
     return reader.blocks
 
 
-def _aside(path: tuple, within: int) -> bool:
-    """Whether an element of the path below `within` is a part of the page that is no article."""
+def _aside(path: tuple, most: frozenset) -> bool:
+    """Whether an element of the path is a part of the page that is no article by its tag. A form around most of the page is none."""
     inside = False
-    for tag, name, _ in path[within:]:
+    for tag, name, number in path:
         inside = inside or tag in ("article", "main")
-        if tag in ASIDE or (tag == "header" and not inside) or (tag == "article" and OTHER_ARTICLES & set(name.lower().split())):
+        if (tag in ASIDE and not (tag in WRAPS and number in most)) or (tag == "header" and not inside) or (tag == "article" and OTHER_ARTICLES & set(name.lower().split())):
             return True
-        if tag in ("html", "body", "article", "main"):
+    return False
+
+
+def _named(path: tuple, most: frozenset) -> bool:
+    """Whether an element of the path is called as parts are that are no article. Elements around most of the text, headings and an article's own parts may be called so."""
+    inside = False
+    for tag, name, number in path:
+        inside = inside or tag in ("article", "main")
+        if tag in ("html", "body", "article", "main") or tag in HEADINGS or number in most:
             continue
-        if any(not ((inside or tag in HEADINGS) and x.group().strip(" \t\n_-").lower() in OWN_PARTS) for x in NAMES.finditer(name)):
+        if any(not (inside and x.group().strip(" \t\n_-").lower() in OWN_PARTS) for x in NAMES.finditer(name)):
             return True
     return False
 
 
+def around_most(blocks, score: np.ndarray) -> frozenset:
+    """Numbers of the elements that hold most of the accepted text."""
+    weight: dict[int, int] = {}
+    total = 0
+    for (path, text, _), ok in zip(blocks, score >= threshold(score, blocks)):
+        if ok:
+            total += len(text)
+            for _, _, number in path:
+                weight[number] = weight.get(number, 0) + len(text)
+    return frozenset(k for k, w in weight.items() if 2 * w > total)
+
+
 def path_scores(blocks) -> np.ndarray:
     """A score for each block: its path's text and punctuation per block, smoothed along the page and fused."""
     key = {}
@@ -161,9 +185,14 @@ def path_scores(blocks) -> np.ndarray:
     return np.sqrt(smooth(length) * length) * (1 + np.sqrt(smooth(dots) * dots)) * np.maximum(free, 0) ** 2
 
 
+def middle(score: np.ndarray, blocks) -> float:
+    """The score of the page's middle 40 characters."""
+    return float(np.median(np.repeat(score, [1 + len(t) // 40 for _, t, _ in blocks])))
+
+
 def threshold(score: np.ndarray, blocks) -> float:
-    """A quarter of the score of the page's middle 40 characters; that of a short sentence is always enough."""
-    return min(SENTENCE, 0.25 * float(np.median(np.repeat(score, [1 + len(t) // 40 for _, t, _ in blocks]))))
+    """A quarter of the middle score; that of a short sentence is always enough."""
+    return min(SENTENCE, 0.25 * middle(score, blocks))
 
 
 def in_article(path: tuple) -> bool:
@@ -172,20 +201,29 @@ def in_article(path: tuple) -> bool:
 
 def main_text(page: str | None) -> str:
     """The article's blocks joined by newlines; empty for a null page or one without text."""
-    blocks = [b for b in read_blocks(page or "")]
-    blocks = [b for b in blocks if not _aside(b[0], 0)]
+    blocks = read_blocks(page or "")
+    if not blocks:
+        return ""
+    most = around_most(blocks, path_scores(blocks))
+    blocks = [b for b in blocks if not _aside(b[0], most)]
     if not blocks:
         return ""
     score = path_scores(blocks)
-    good = score >= threshold(score, blocks)
+    most = around_most(blocks, score)
+    named = np.array([_named(path, most) for path, _, _ in blocks])
     inside = np.array([in_article(path) for path, _, _ in blocks])
+    usual = middle(score[~named], [b for b, x in zip(blocks, named) if not x]) if not named.all() else middle(score, blocks)
+    # Called as boilerplate is, a part outside an article has to stand out, and one within has to be as good as a sentence.
+    good = np.where(named, np.where(inside, score >= min(SENTENCE, usual), NAMED * score >= 0.25 * usual), score >= min(SENTENCE, 0.25 * usual))
     size = np.array([len(t) for _, t, _ in blocks]) * good
     within = size @ inside * 2 >= size.sum() and bool(inside.any())
-    keep = (good | inside) if within else good.copy()
+    keep = (good | inside & ~named) if within else good.copy()
     if within:
         keep &= inside
     heads = [k for k, (path, _, _) in enumerate(blocks) if path and path[-1][0] in HEADINGS]
     for k in reversed(heads):  # a heading stays with what follows it
+        if named[k] and not inside[k]:
+            continue
         keep[k] |= k + 1 < len(blocks) and keep[k + 1]
     return "\n".join(text for (_, text, _), ok in zip(blocks, keep) if ok)
 

@@ -231,6 +231,16 @@ def test_pages_keep_all_accepted_paths():
     assert html_text.main_text(page) == "\n".join(["Headline", "A lead of one sentence, short.", long.strip(), long.strip()])
 
 
+def test_pages_names_are_no_veto():
+    long = "A paragraph of the text, which goes on for a while, as such do. It has more than one sentence, too, and is the longest."
+    whole = "\n".join([long] * 3)
+    text = f"<p>{long}</p>" * 3
+    assert html_text.main_text(f"<form id=aspnet><div class='content has-sidebar'>{text}</div></form><div class=sidebar><p>{long}</p></div>") == whole
+    for part in ("<section id=discussion>{}</section>", "<div class=related-work>{}</div>", "<section class='legal'><h2 id=legal>Law</h2>{}</section>", "<h2 id=search>Search</h2>{}"):
+        got = html_text.main_text(f"<div class=sidebar><p>{long}</p></div><article>{text}{part.format(text)}</article>")
+        assert got.replace("Law\n", "").replace("Search\n", "") == "\n".join([whole, whole]) and ("h2" in part) == (got != "\n".join([whole, whole]))
+
+
 def test_pages_of_the_table(spark):
     import html
     import re
