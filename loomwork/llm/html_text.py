@@ -37,12 +37,14 @@ OTHER_ARTICLES = frozenset("comment reply ad advert advertisement sponsored prom
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؟]")
 #: The score of 25 characters with a mark.
 SENTENCE = 50.0
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of an article whose text is short by nature.
+STRUCTURE = HEADINGS | frozenset("header li dt dd td th caption figcaption blockquote pre".split())
 #: What the score of a part outside an article counts if it is called as boilerplate is.
 NAMED = 0.1
 #: Elements of ASIDE that may be around a whole page.
 WRAPS = frozenset("form fieldset".split())
 _WHITE = re.compile(r"\s+")
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class _Reader(HTMLParser):
@@ -157,6 +159,10 @@ def _named(path: tuple, most: frozenset) -> bool:
     return False
 
 
+def _spared(path: tuple) -> bool:
+    return any(tag in STRUCTURE or OWN_PARTS & set(re.split(r"[\s_-]", name.lower())) for tag, name, _ in path)
+
+
 def around_most(blocks, score: np.ndarray) -> frozenset:
     """Numbers of the elements that hold most of the accepted text."""
     weight: dict[int, int] = {}
@@ -217,7 +223,9 @@ def main_text(page: str | None) -> str:
     good = np.where(named, np.where(inside, score >= min(SENTENCE, usual), NAMED * score >= 0.25 * usual), score >= min(SENTENCE, 0.25 * usual))
     size = np.array([len(t) for _, t, _ in blocks]) * good
     within = size @ inside * 2 >= size.sum() and bool(inside.any())
-    keep = (good | inside & ~named) if within else good.copy()
+    # Within an article headings, its own parts, and lists, tables and quotes of plain text stay, however short.
+    spared = np.array([_spared(path) and 2 * links < len(text) for path, text, links in blocks])
+    keep = (good | inside & ~named & spared) if within else good.copy()
     if within:
         keep &= inside
     heads = [k for k, (path, _, _) in enumerate(blocks) if path and path[-1][0] in HEADINGS]

@@ -241,6 +241,13 @@ def test_pages_names_are_no_veto():
         assert got.replace("Law\n", "").replace("Search\n", "") == "\n".join([whole, whole]) and ("h2" in part) == (got != "\n".join([whole, whole]))
 
 
+def test_pages_scores_decide_within_an_article():
+    long = "A paragraph of the text, which goes on for a while, as such do. It has more than one sentence, too, and is the longest. " * 3
+    other = "".join(f"<div class=x7><a href=/{k}>Another page of this site</a></div>" for k in range(6))
+    got = html_text.main_text(f"<article><h1>Head</h1><p>{long}</p><p>Short one.</p><ul><li>two eggs</li></ul><p>{long}</p>{other}<div class=x8>12 views</div></article>")
+    assert got == "\n".join(["Head", long.strip(), "Short one.", "two eggs", long.strip()])
+
+
 def test_pages_of_the_table(spark):
     import html
     import re
