@@ -2,7 +2,7 @@
 
 * A token's score is the log-odds of its use in toxic and in other documents, with Dirichlet priors in a chain: a word's prior
   is what its six-byte prefix shows, that prefix's is the five-byte one's, and so on to the overall share. Counts are kept in
-  two hashed tables of fixed size; the smaller count of the two is taken. A word scores above zero once in a text.
+  two hashed tables of fixed size; the smaller count of the two is taken. A word scores above zero once in a passage.
 * One linear scan over a text's token scores finds all maximal-scoring segments (Ruzzo and Tompa).
 * By extreme-value theory the best segment of a clean text of n tokens scores above x with probability 1 - exp(-K n exp(-lambda x)).
   lambda solves sum p_i exp(lambda s_i) = 1 over clean tokens, K is fitted to clean texts. Segments with a small expected number are
@@ -32,6 +32,8 @@ PREFIXES = (6, 5, 4)
 PER_CLASS = 20_000
 #: Strength of a prior in documents; what a token costs a segment; the range of a token's score.
 PRIOR, COST, LOW, HIGH = 2.0, 1.0, -2.0, 6.0
+#: A fall of the sum that ends a passage.
+CLOSED = 20.0
 #: A segment expected less often than this in a clean text of its length is a passage.
 SIGNIFICANT = 0.01
 THRESHOLD = 0.3
@@ -66,14 +68,26 @@ def token_scores(buckets: list[np.ndarray], toxic: np.ndarray, clean: np.ndarray
 
 
 def first_uses(scores: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Scores of one text's tokens, with those above zero kept at a word's first use alone: a word said often is no more evidence."""
+    """Scores of one text's tokens, with those above zero kept at a word's first use in a passage alone: a word said often is no more evidence.
+
+    A passage is over where its sum has fallen to zero, or by CLOSED from its peak; after that all words count again.
+    """
     up = np.flatnonzero(scores > 0)
-    if len(up) < 2:
+    if len(up) < 2 or len(np.unique(words[up])) == len(up):
         return scores
-    again = np.ones(len(up), bool)
-    again[np.unique(words[up], return_index=True)[1]] = False
-    out = scores.copy()
-    out[up[again]] = -COST
+    below = np.cumsum(np.minimum(scores, 0))[up]
+    out, used = scores.copy(), set()
+    run = peak = last = 0.0
+    for k, word, value, b in zip(up.tolist(), words[up].tolist(), scores[up].tolist(), below.tolist()):
+        run, last = max(0.0, run + b - last), b
+        if run == 0 or peak - run > CLOSED:
+            used.clear()
+            peak = run
+        if word in used:
+            out[k] = value = -COST
+        used.add(word)
+        run += value
+        peak = max(peak, run)
     return out
 
 

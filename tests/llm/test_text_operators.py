@@ -133,6 +133,20 @@ def test_segments_are_maximal():
         assert max((x[2] for x in toxicity.segments(s)), default=0.0) == pytest.approx(max(best, 0.0))
 
 
+def test_toxic_passages_after_the_first_are_found():
+    draw = np.random.default_rng(4)
+    clean = lambda n: (np.full(n, -1.5), draw.integers(100, 10**9, n))
+    passage = np.full(8, 4.0), np.arange(8)
+    text = lambda *parts: map(np.concatenate, zip(*parts))
+    # Two equal passages, and again the same words before both, each alone.
+    once = [x for k in range(8) for x in ((np.array([4.0]), np.array([k])), clean(20))]
+    for early in ([], once):
+        found = toxicity.segments(toxicity.first_uses(*text(*early, clean(300), passage, clean(300), passage, clean(50))))
+        assert [x[2] for x in found if x[2] > 20] == [32.0, 32.0]
+    # Within a passage a word counts once.
+    assert max(x[2] for x in toxicity.segments(toxicity.first_uses(*text(passage, passage)))) == 32.0
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.toxicity_table(docs, labels).join(labels, "doc_id").where("held_out").collect()
