@@ -28,8 +28,8 @@ FORMATS = {
     "stripe_key": r"\b[sr]k_(?:live|test)_[A-Za-z0-9]{16,}\b",
     "google_key": r"\bAIza[0-9A-Za-z_-]{35}",
     "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "assignment": r"(?i:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|token|passw(?:or)?d|passwd|pwd|credentials?|bearer|auth[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[^\s\"'<>,;(){}]{6,512}",
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----)?+",
+    "assignment": r"(?i:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|token|passw(?:or)?d|passwd|pwd|credentials?|bearer|auth[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[^\s\"'<>,;(){}]{6,}+",
 }
 CANDIDATE = "|".join(FORMATS.values())
 _KEYWORD = r"(?i)^(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|token|passw(?:or)?d|passwd|pwd|credentials?|bearer|auth[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
@@ -96,7 +96,7 @@ def labelled_findings(n: int = 3000, seed: int = 13) -> list[tuple[str, str, str
         lambda: "sk_live_" + _draw(rng, every, 24),
         lambda: "AIza" + _draw(rng, every + "_-", 35),
         lambda: "eyJ" + _draw(rng, every, 20, 40) + ".eyJ" + _draw(rng, every, 30, 90) + "." + _draw(rng, every + "_-", 43),
-        lambda: "-----BEGIN " + rng.choice(["RSA ", "EC ", "", "OPENSSH "]) + "PRIVATE KEY-----",
+        lambda: "-----BEGIN " + (kind := rng.choice(["RSA ", "EC ", "", "OPENSSH "])) + "PRIVATE KEY-----" + rng.choice(["", "\n" + _draw(rng, every + "+/", 64, 1600) + "\n-----END " + kind + "PRIVATE KEY-----"]),
         lambda: assigned(_draw(rng, hexa, 16, 64)),
         lambda: assigned(_draw(rng, every, 16, 48)),
         lambda: assigned(_draw(rng, every + "+/", 20, 60) + "=="),
