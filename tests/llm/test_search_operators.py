@@ -196,6 +196,52 @@ def test_neighbours_recall_on_random_vectors(spark):
     assert sum(len(set(got[q]) & set(w)) for q, w in want.items()) >= 0.95 * 5 * len(want)
 
 
+def test_neighbours_form_few_pairs():
+    """Collisions are looked up, not tested pair by pair: 0.2 of all pairs of random vectors, far fewer where there are near ones; lists do not grow with the width's square."""
+    draw = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    for width, noise, most in ((64, None, 0.23), (64, 0.5, 0.23), (768, 0.5, 0.02)):
+        x = unit(draw.normal(size=(4000, width)))
+        q = x[:40]
+        if noise:  # five near ones of each query, at a cosine of about 0.9
+            near = unit(np.repeat(q, 5, axis=0) + noise * unit(draw.normal(size=(200, width))))
+            x = np.concatenate([x[:3800], near])
+        lists = neighbours.probe_lists(q)
+        assert sum(k.nbytes + v.nbytes for k, v in lists) <= 40 * neighbours.TABLES * neighbours.PROBES * 12
+        qi, vi = neighbours.collisions(x, lists, 40)
+        assert len(qi) <= most * 40 * 4000 and len(set(zip(qi.tolist(), vi.tolist()))) == len(qi)
+        if noise:
+            met = set(zip(qi.tolist(), vi.tolist()))
+            assert sum((k, 3800 + 5 * k + j) in met for k in range(40) for j in range(5)) >= 0.97 * 200
+
+
+def test_neighbours_probe_the_best_buckets():
+    x = np.random.default_rng(6).normal(size=(7, 5))
+    got = neighbours.probes(x, 3)
+    a, b = (np.concatenate([y.T, -y.T], axis=1) for y in (neighbours.rotations(x, 3, h) for h in (0, 1)))
+    for k in range(7):
+        sums = (a[k][:, None] + b[k][None, :]).ravel()
+        assert len(set(got[k].tolist())) == neighbours.PROBES
+        assert np.allclose(np.sort(sums[got[k]]), np.sort(sums)[-neighbours.PROBES :], atol=1e-6)
+
+
+def test_neighbours_in_a_hot_group(spark):
+    """A third of the rows is one vector, with repeated rows: answers are those of brute force."""
+    draw = np.random.default_rng(5)
+    hot, other = draw.normal(size=8), draw.normal(size=(400, 8))
+    rows = [(i, (hot if i % 3 == 0 else other[i]).tolist()) for i in range(400)] + [(i, hot.tolist()) for i in (0, 3, 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(2)
+    got = {}
+    for r in neighbours.nearest(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    for q, found in got.items():
+        x = dict(rows)[q]
+        want = sorted((-round(float(np.dot(x, v) / np.linalg.norm(x) / np.linalg.norm(v)), 9), i) for i, v in rows if i != q)[:5]
+        assert [s for _, s in found] == [-s for s, _ in want]
+        if q % 3 == 0:
+            assert [i for i, _ in found] == ([3, 3, 3, 6, 9] if q == 0 else [0, 0, 3, 3, 3])
+
+
 def test_neighbours_of_the_table(spark):
     df = spark.read.parquet(f"{DATA}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
