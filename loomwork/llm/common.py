@@ -44,12 +44,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def removed(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes a table made by written()."""
+    """Deletes a table made by written(); nothing that reads it may run after that."""
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Intermediate tables of one operator, deleted together when no result reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(written(df, name))
+        return self.tables[-1]
+
+    def close(self) -> None:
+        for t in self.tables:
+            removed(self.spark, t)
+        self.tables = []
+
+
 def text_column(df: DataFrame, name: str = "text"):
     """A text column as string, cast if another type."""
     return F.col(name).cast("string")

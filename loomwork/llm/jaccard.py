@@ -4,19 +4,25 @@ Sets are keyed by a 64-bit fingerprint, so exact copies are one set. The method:
 
 * *Prefix lists.* A set is put in the index list of its first n - ceil(t n) + 1 n-grams under one order of all n-grams (those
   that fill lists come last), with its size and their position. Two sets that link share a list.
-* *Block skipping by position.* A list is sorted by set size and read in blocks. Pairs whose sizes differ too much, or whose
-  positions leave too few n-grams to reach the overlap needed, are skipped; for long lists whole blocks are.
-* *Answers from similar sets.* In a long list (a group of near copies) blocks of sets meet in a task, which computes a set's
-  overlaps from those of an already answered, similar set: it touches the lists of the n-grams in which the two differ and
-  nothing else. A set whose possible partners, by the triangle inequality of Jaccard distance, are all known to be linked
-  with it needs no answers at all. Links that join what is joined already are not given out, so a group of m copies
-  yields at most m - 1 rows per block pair.
-
-Short lists give distinct pairs, which are checked against the sets. The links' components are then found by star contraction.
+* *Skipping by position.* A short list is sorted by set size. Pairs whose sizes differ too much, or whose positions leave too few
+  n-grams to reach the overlap needed, are skipped; the sets of long lists stand in blocks, of which whole pairs are skipped so.
+* *One block for each set of long lists.* Of its long lists the longest owns a set; the owner's sets are dealt at random into blocks of like
+  sizes, so no list is read by one task. Sets are compared within their blocks, once, and what links is joined; then representatives of each
+  block's groups, dealt anew, join the blocks of a large group.
+* *Only what is still apart meets.* A list whose sets are all joined is done. Of the others the sets outside the largest group are
+  dealt anew, and their blocks meet each block they share a list with: once, whatever the number of lists. The sets of the
+  largest group never meet each other again, so the work for a group of near copies grows with its size and not with its square.
+* *Answers from similar sets.* A task computes a set's overlaps with a block from those of an already answered, similar set: it
+  touches the lists of the n-grams in which the two differ and nothing else. A set whose possible partners, by the triangle
+  inequality of Jaccard distance, are all known to be joined with it needs no answers at all. Links that join what is joined
+  already are not given out.
+
+Short lists give distinct pairs, which are checked against the sets. Components are found by star contraction.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import prepare, text_column, written, trimmed
+from .common import Scratch, prepare, removed, text_column, trimmed, written
 from .components import connected
 
 #: A list of more sets than this is handled in blocks.
 SHORT_LIST = 64
-#: A block of a long list ends at so many sets or so many n-grams, which bounds a task's memory.
-BLOCK_SETS, BLOCK_GRAMS = 1024, 1_000_000
+#: About so many sets, or so many n-grams, are dealt into a block of a long list, which bounds a task's memory.
+BLOCK_SETS, BLOCK_GRAMS = 1024, 500_000
+#: Representatives of blocks are compared while there are lists of so many sets, and while that leaves at most half of the groups.
+MANY = 4 * BLOCK_SETS
 #: An n-gram in so many prefixes is moved to the end of the order; at most so many are (8 bytes each are broadcast). The order changes the work, never the result.
 FREQUENT, MOST_FREQUENT = 8, 1_000_000
 #: Up to so many sets are looked up by a broadcast list of ids, more by a join.
@@ -42,7 +50,7 @@ SEEN = 500_000
 _DOCS = pa.schema([("row_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64())])
 _GRAMS = pa.schema([("gram", pa.int64())])
 _POSTINGS = pa.schema([("gram", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("pos", pa.int32())])
-_FOUND = pa.schema([("gram", pa.int64()), ("block", pa.int32()), ("other", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _SETS = pa.schema([("fp", pa.int64()), ("grams", pa.binary())])
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -114,12 +122,12 @@ def _postings(width: int, percent: int, frequent):
     return trimmed(run)
 
 
-def _walk(percent: int):
-    """Reads lists in order of (gram, n, fp): pairs of short lists (block null), members of long ones by block (a: the set), and the block pairs to compare (a null)."""
+def _pairs(percent: int):
+    """Reads short lists in order of (gram, n, fp) and gives the pairs that sizes and positions leave."""
 
     def pairs(gram, n, fp, pos):
-        for k in range(1, SHORT_LIST):
-            at = np.flatnonzero(gram[:-k] == gram[k:]) if k < len(gram) else np.zeros(0, np.int64)
+        for k in range(1, len(gram)):
+            at = np.flatnonzero(gram[:-k] == gram[k:])
             if not len(at):
                 return
             small, large = n[at].astype(np.int64), n[at + k].astype(np.int64)
@@ -127,86 +135,18 @@ def _walk(percent: int):
             room = 1 + np.minimum(small - pos[at] - 1, large - pos[at + k] - 1)
             at = at[(100 * small >= percent * large) & (room >= need) & (fp[at] != fp[at + k])]
             if len(at):
-                a, b = np.minimum(fp[at], fp[at + k]), np.maximum(fp[at], fp[at + k])
-                none = pa.nulls(len(at), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), none, none, pa.array(a), pa.array(b)], schema=_FOUND)
-
-    class Long:
-        """The list of one gram, as it streams by; earlier blocks are kept as (id, largest size) alone."""
-
-        def __init__(self, gram):
-            self.gram, self.done, self.id, self.sets, self.grams, self.least, self.most = gram, [], 0, 0, 0, None, 0
-
-        def close(self):
-            if self.sets:
-                pairs = [i for i, most in self.done if 100 * most >= percent * self.least] + [self.id]
-                self.done = [x for x in self.done if 100 * x[1] >= percent * self.least] + [(self.id, self.most)]
-                k = len(pairs)
-                yield pa.RecordBatch.from_arrays([pa.array([self.gram] * k, pa.int64()), pa.array(pairs, pa.int32()), pa.array([self.id] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=_FOUND)
-                self.id, self.sets, self.grams = self.id + 1, 0, 0
-
-        def add(self, n, fp):
-            start = 0
-            while start < len(n):
-                if self.sets == 0:
-                    self.least = int(n[start])
-                room = np.searchsorted(np.cumsum(n[start:], dtype=np.int64), BLOCK_GRAMS - self.grams, "right")
-                stop = min(len(n), start + max(1 if self.sets == 0 else 0, min(BLOCK_SETS - self.sets, int(room))))
-                k = stop - start
-                if k:
-                    yield pa.RecordBatch.from_arrays([pa.array([self.gram] * k, pa.int64()), pa.array([self.id] * k, pa.int32()), pa.nulls(k, pa.int32()), pa.array(fp[start:stop]), pa.nulls(k, pa.int64())], schema=_FOUND)
-                    self.sets, self.grams, self.most = self.sets + k, self.grams + int(n[start:stop].sum()), int(n[stop - 1])
-                if stop < len(n) or self.sets >= BLOCK_SETS:
-                    yield from self.close()
-                start = stop
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[at], fp[at + k])), pa.array(np.maximum(fp[at], fp[at + k]))], schema=_PAIRS)
 
     def run(batches):
         held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-        long: Long | None = None
-
-        def finish(cols):
-            """Whole lists, none of them long so far."""
-            nonlocal long
-            gram = cols[0]
-            starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
-            lengths = np.diff(np.append(starts, len(gram)))
-            many = np.repeat(lengths > SHORT_LIST, lengths)
-            yield from pairs(*(c[~many & np.repeat(lengths > 1, lengths)] for c in cols))
-            for s, k in zip(starts[lengths > SHORT_LIST], lengths[lengths > SHORT_LIST]):
-                own = Long(int(gram[s]))
-                yield from own.add(cols[1][s : s + k], cols[2][s : s + k])
-                yield from own.close()
-
         for b in batches:
-            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            if not len(new[0]):
+            if not b.num_rows:
                 continue
-            cols = [np.concatenate(x) for x in zip(held, new)]
-            fresh = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[2][1:] != cols[2][:-1])])  # copies of a set stand side by side
-            cols = [c[fresh] for c in cols]
-            if long is not None:
-                own = int(np.searchsorted(cols[0], long.gram, "right")) if cols[0][0] == long.gram else 0
-                skip = 1 if own and cols[2][0] == long.last else 0
-                yield from long.add(cols[1][skip:own], cols[2][skip:own])
-                if own:
-                    long.last = int(cols[2][own - 1])
-                cols = [c[own:] for c in cols]
-                if not len(cols[0]):
-                    held = [c[:0] for c in cols]
-                    continue
-                yield from long.close()
-                long = None
-            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-            yield from finish([c[:cut] for c in cols])
+            cols = [np.concatenate(x) for x in zip(held, (b.column(i).to_numpy(zero_copy_only=False) for i in range(4)))]
+            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last list may go on
+            yield from pairs(*(c[:cut] for c in cols))
             held = [c[cut:] for c in cols]
-            if len(held[0]) > SHORT_LIST:
-                long = Long(int(held[0][0]))
-                yield from long.add(held[1], held[2])
-                long.last = int(held[2][-1])
-                held = [c[:0] for c in held]
-        if long is not None:
-            yield from long.close()
-        yield from finish(held)
+        yield from pairs(*held)
 
     return trimmed(run)
 
@@ -265,8 +205,9 @@ class _Forest:
         return self.up
 
 
-def answers(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Links enough to connect whatever links connect: between `left` and `right`, or within `left` if right is None. Sets are sorted hash arrays; right's are numbered after left's."""
+def answers(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links enough to connect whatever links connect: between `left` and `right`, or within `left` if right is None. Sets are sorted hash arrays; right's are
+    numbered after left's. `joined` labels sets that are known to be connected (left's, then right's)."""
     other = left if right is None else right
     shift = 0 if right is None else len(left)
     if not left or not other:
@@ -289,8 +230,14 @@ def answers(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
         return owner[np.repeat(starts[at] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())]
 
     forest, out = _Forest(len(left) + (0 if right is None else len(right))), []
+    if joined is not None:
+        _, first, label = np.unique(joined, return_index=True, return_inverse=True)
+        forest.up = first[label]
     known: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # answered sets: grams, overlaps, distances
     for i, s in enumerate(left):
+        roots = forest.roots()
+        if (roots[shift : shift + len(other)] == roots[i]).all():
+            continue
         best, spare = None, None
         for grams_of, overlaps, distance in known:
             o = int((grams_of[np.minimum(np.searchsorted(grams_of, s), len(grams_of) - 1)] == s).sum())
@@ -300,7 +247,6 @@ def answers(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
         if best is not None:
             gap = 1 - best_o / (len(s) + len(best[0]) - best_o)
             near = np.flatnonzero(best[2] <= gap + (100 - percent) / 100 + 1e-9)  # no other set can link with this one
-            roots = forest.roots()
             if not len(near) or (roots[near + shift] == roots[i]).all():
                 continue
         if best is not None and 2 * spare < len(s):
@@ -311,7 +257,6 @@ def answers(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
         if best is None or (2 * spare >= len(s) and len(known) < 24):
             known.append((s, overlap, 1 - overlap / np.maximum(1, len(s) + sizes - overlap)))
         hits = np.flatnonzero(_linked(overlap, len(s), sizes, percent))
-        roots = forest.roots()
         hits = hits[roots[hits + shift] != roots[i]]
         if len(hits):
             _, first = np.unique(roots[hits + shift], return_index=True)
@@ -324,48 +269,147 @@ def answers(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
     return out
 
 
-def _compare_blocks(percent: int):
+def _compare(percent: int):
+    """Links of a pair of blocks (sides 0 and 1) or within one (side 0 alone), between the groups that their sets are known to be in."""
+
     def run(table: pa.Table) -> pa.Table:
-        block, other = table["block"][0].as_py(), table["other"][0].as_py()
-        ids, side = table["fp"].to_numpy(), table["side"].to_numpy()
+        side, label = table["side"].to_numpy(), table["label"].to_numpy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["grams"]]
-        first = np.unique(np.stack([side, ids]), axis=1, return_index=True)[1]
-        one = [k for k in first if side[k] == 0]
-        two = [k for k in first if side[k] == 1]
-        number = one if block == other else one + two
-        found = answers([sets[k] for k in one], None if block == other else [sets[k] for k in two], percent)
-        return pa.table({"u": pa.array([int(ids[number[a]]) for a, _ in found], pa.int64()), "v": pa.array([int(ids[number[b]]) for _, b in found], pa.int64())}, schema=_LINKS)
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        number = np.concatenate([one, two])
+        found = answers([sets[k] for k in one], [sets[k] for k in two] if len(two) else None, percent, label[number])
+        return pa.table({"u": pa.array([int(label[number[a]]) for a, _ in found], pa.int64()), "v": pa.array([int(label[number[b]]) for _, b in found], pa.int64())}, schema=_LINKS)
 
     return run
 
 
-def set_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (u, v) between fingerprints, enough to connect all that link."""
+def _owned(members: DataFrame) -> DataFrame:
+    """fp, n, owner: of a set's lists the longest, with the list's size."""
+    lists = members.groupBy("gram").agg(F.count(F.lit(1)).alias("size"))
+    own = members.join(lists, "gram").groupBy("fp", "n").agg(F.max(F.struct("size", "gram")).alias("x"))
+    return own.select("fp", "n", F.col("x.gram").alias("owner"), F.col("x.size").alias("size"))
+
+
+def _dealt(sets: DataFrame, percent: int, *by: str) -> DataFrame:
+    """Sets (fp, n and the columns `by`) with a block: sets of one key and of like sizes, at random."""
+    kind = F.floor(F.log("n") / math.log(100 / percent)).cast("int") if percent < 100 else F.col("n")
+    keyed = sets.withColumn("kind", kind)
+    cells = keyed.groupBy(*by, "kind").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).alias("parts"))
+    return keyed.join(cells, [*by, "kind"]).withColumn("block", F.xxhash64(*by, "kind", F.pmod(F.xxhash64("fp", F.lit(29)), "parts"))).drop("kind", "parts")
+
+
+class _Groups:
+    """What sets are joined so far: tables of (node, root), each of the roots of the one before."""
+
+    def __init__(self, spark):
+        self.spark, self.table = spark, spark.createDataFrame([], "node long, root long")
+
+    def add(self, links: DataFrame) -> bool:
+        """Takes links between roots; False if there are none."""
+        new = connected(links)
+        if new.isEmpty():
+            removed(self.spark, new)
+            return False
+        before, old = self.table, self.table.join(new.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        self.table = written(old.union(new.join(self.table.select("node"), "node", "left_anti")), "groups")
+        for x in (new, before):
+            removed(self.spark, x)
+        return True
+
+    def label(self, sets: DataFrame) -> DataFrame:
+        """Sets (fp and others) with the label of their group."""
+        return sets.join(self.table.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
+
+
+_LINK, _SIDES = "u long, v long", ("side", "label", "grams")
+
+
+def _inside(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within blocks, of sets with labels."""
+    return dealt.join(sets, "fp").select("block", F.lit(0).alias("side"), "label", "grams").groupBy("block").applyInArrow(_compare(percent), _LINK)
+
+
+def _join_blocks(members: DataFrame, dealt: DataFrame, sets: DataFrame, groups: _Groups, percent: int, scratch: Scratch) -> None:
+    """Compares one representative of each group in each block with those of the other blocks of its lists, while there are long lists and that joins many."""
+    many = members.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > MANY).select("gram")
+    if many.isEmpty():
+        return
+    held = members.join(many, "gram", "left_semi")
+    before = None
+    while True:
+        some = groups.label(dealt.select("fp", "n", "block")).groupBy("block", "label").agg(F.min("fp").alias("fp"))
+        lists = held.join(some.select("fp"), "fp", "left_semi")
+        dealt = scratch.written(groups.label(_dealt(_owned(lists).select("fp", "n", "owner"), percent, "owner")), "dealt")
+        left = dealt.count()
+        if before is not None and 2 * left > before or left == 0 or not groups.add(_inside(dealt, sets, percent)):
+            return
+        before = left
+
+
+def _apart(members: DataFrame, sets: DataFrame, groups: _Groups, percent: int, scratch: Scratch) -> DataFrame | None:
+    """Links between groups: in the lists that hold several, the blocks of sets outside the largest meet all blocks of the list."""
+    labelled = groups.label(members)
+    open_lists = labelled.groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("gram")
+    own = scratch.written(labelled.join(open_lists, "gram", "left_semi"), "open")
+    if own.isEmpty():
+        return None
+    owned = groups.label(_owned(own.drop("label")).select("fp", "n", "owner"))
+    largest = owned.groupBy("owner", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("owner").agg(F.max(F.struct("c", F.col("label"))).alias("x")).select("owner", F.col("x.label").alias("most"))
+    # A block holds sets of the owner's largest group alone (whole: its label), or of others (whole: null).
+    flagged = owned.join(largest, "owner").withColumn("main", F.col("label") == F.col("most"))
+    dealt = scratch.written(_dealt(flagged.select("fp", "n", "owner", "main", "label"), percent, "owner", "main"), "dealt")
+    placed = own.select("gram", "fp", "n", "pos").join(dealt.select("fp", "block", F.when(F.col("main"), F.col("label")).alias("whole")), "fp")
+    lists = scratch.written(placed.groupBy("gram", "block", "whole").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("pos")), "lists")
+    main = lists.where("whole is not null").groupBy("gram", "whole").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg(F.max(F.struct("c", F.col("whole"))).alias("x")).select("gram", F.col("x.whole").alias("main"))
+    few = lists.join(main, "gram", "left").where("whole is null or whole <> main").drop("main")
+    x, y = few.select("gram", *(F.col(c).alias(f"x_{c}") for c in ("block", "whole", "least", "most", "pos"))), lists.select("gram", *(F.col(c).alias(f"y_{c}") for c in ("block", "whole", "least", "most", "pos")))
+    small = F.least("x_least", "y_least")
+    met = x.join(y, "gram").where(
+        "x_whole is null or y_whole is null or x_whole <> y_whole"
+    ).where(
+        # Sizes too far apart, or positions that leave too few n-grams for the overlap needed, cannot link.
+        (100 * F.col("x_most") >= percent * F.col("y_least")) & (100 * F.col("y_most") >= percent * F.col("x_least")) & (F.least(F.col("x_most") - F.col("x_pos"), F.col("y_most") - F.col("y_pos")) >= F.ceil(percent * (small + F.greatest("x_least", "y_least")) / (100 + percent)))
+    )
+    pairs = scratch.written(met.select(F.least("x_block", "y_block").alias("a"), F.greatest("x_block", "y_block").alias("b")).distinct(), "meets")
+    sides = pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("block")).union(pairs.where("a <> b").select("a", "b", F.lit(1), "b"))
+    return sides.join(dealt.select("fp", "block", "label"), "block").join(sets, "fp").select("a", "b", "side", "label", "grams").groupBy("a", "b").applyInArrow(_compare(percent), _LINK)
+
+
+def set_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, root) of all fingerprints that link with another: the smallest of their component."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     text = docs.select(F.lit(0).alias("row_id"), text_column(docs).alias("text"))
     counts = text.mapInArrow(_first_grams(width, percent), "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT)
     found = counts.orderBy(F.col("c").desc(), "gram").limit(MOST_FREQUENT).select("gram").toArrow()["gram"].to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(found.view(np.uint64)))
-    postings = text.mapInArrow(_postings(width, percent, frequent), "gram long, n int, fp long, pos int")
-    listed = postings.repartition("gram").sortWithinPartitions("gram", "n", "fp")
-    found = written(listed.mapInArrow(_walk(percent), "gram long, block int, other int, a long, b long"), "found")
-    pairs = written(found.where("block is null").select("a", "b").distinct(), "pairs")
-    members = found.where("other is null and block is not null").select("gram", "block", F.col("a").alias("fp"))
-    meets = found.where("other is not null").select("gram", "block", "other")
+    postings = written(text.mapInArrow(_postings(width, percent, frequent), "gram long, n int, fp long, pos int"), "postings")
+    # Long lists are told by their counts before any list is gathered, so the key of a long one is never dealt to one task.
+    long = scratch.written(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SHORT_LIST).select("gram"), "long")
+    members = scratch.written(postings.join(long, "gram", "left_semi").groupBy("gram", "fp", "n").agg(F.min("pos").alias("pos")), "members")
+    short = postings.join(long, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", "n", "fp")
+    pairs = scratch.written(short.mapInArrow(_pairs(percent), "a long, b long").distinct(), "pairs")
+    removed(spark, postings)
     needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(members.select("fp")).distinct()
     few = needed.limit(MOST_BROADCAST + 1).toArrow()["fp"].to_numpy()
     if len(few) <= MOST_BROADCAST:
         sets = text.mapInArrow(_some_sets(width, spark.sparkContext.broadcast(np.sort(few))), "fp long, grams binary")
     else:
         sets = text.mapInArrow(_some_sets(width, None), "fp long, grams binary").join(needed, "fp", "left_semi")
-    sets = written(sets.groupBy("fp").agg(F.any_value("grams").alias("grams")), "sets")
-    short = pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
-    links = short.select("a", "b", "x", "y").mapInArrow(_verify(percent), "u long, v long")
-    if not members.isEmpty():
-        sides = meets.select("gram", "block", "other", F.lit(0).alias("side"), F.col("block").alias("at")).union(meets.where("block <> other").select("gram", "block", "other", F.lit(1), F.col("other")))
-        put = members.withColumnRenamed("block", "at").join(sides, ["gram", "at"]).join(sets, "fp")
-        links = links.union(put.select("gram", "block", "other", "side", "fp", "grams").groupBy("gram", "block", "other").applyInArrow(_compare_blocks(percent), "u long, v long"))
-    return links
+    sets = scratch.written(sets.groupBy("fp").agg(F.any_value("grams").alias("grams")), "sets")
+    checked = pairs.join(sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
+    links = checked.select("a", "b", "x", "y").mapInArrow(_verify(percent), _LINK)
+    groups = _Groups(spark)
+    if members.isEmpty():
+        groups.add(links)
+    else:
+        dealt = scratch.written(_dealt(_owned(members).select("fp", "n", "owner"), percent, "owner"), "dealt")
+        groups.add(links.union(_inside(dealt.withColumn("label", F.col("fp")), sets, percent)))
+        _join_blocks(members, dealt, sets, groups, percent, scratch)
+        if (more := _apart(members, sets, groups, percent, scratch)) is not None:
+            groups.add(more)
+    scratch.close()
+    return groups.table
 
 
 def jaccard_components(documents: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id") -> DataFrame:
@@ -378,7 +422,7 @@ def jaccard_components(documents: DataFrame, width: int = 4, percent: int = 85,
     prepare(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("row_id"), text_column(documents).alias("text"))
     rows = written(docs.mapInArrow(_documents(width), "row_id long, n long, fp long"), "rows")
-    roots = connected(set_links(docs, width, percent))
+    roots = set_groups(docs, width, percent)
     per_set = rows.where("fp is not null").groupBy("fp").agg(F.min("row_id").alias("least"))
     joined = per_set.join(roots, per_set.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")

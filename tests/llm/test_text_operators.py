@@ -80,6 +80,40 @@ def test_jaccard_equals_brute_force_on_dense_groups(spark, seed):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_jaccard_blocks_of_long_lists(spark, seed, monkeypatch):
+    """Many small blocks: groups of near copies that share lists with others, joined through representatives, and a stock phrase."""
+    for name, value in (("BLOCK_SETS", 12), ("MANY", 24), ("SHORT_LIST", 6)):
+        monkeypatch.setattr(jaccard, name, value)
+    draw = np.random.default_rng(seed)
+    word = lambda: f"w{draw.integers(3000)}"
+    rows, stock = [], [word() for _ in range(25)]
+    base = [word() for _ in range(60)]
+    for g, (copies, edits) in enumerate(((150, 2), (80, 5), (60, 1), (40, 9))):
+        own = list(base)
+        for k in range(0, 60, 7):  # groups are alike, too far for links but for edits
+            if draw.random() < 0.1 * g:
+                own[k] = word()
+        for _ in range(copies):
+            t = list(own)
+            for _ in range(int(draw.integers(0, edits + 1))):
+                t[draw.integers(len(t))] = word()
+            rows.append((len(rows), " ".join(t)))
+    rows += [(len(rows) + k, " ".join([word() for _ in range(6)] + stock + [word() for _ in range(int(draw.integers(1, 12)))])) for k in range(80)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_components(rows)
+    assert len({c for _, c in want.values()}) > 60 and got == want
+
+
+def test_answers_start_from_what_is_joined():
+    base = np.arange(100, dtype=np.uint64)
+    left = [np.append(base[:99], np.uint64(200 + k)) for k in range(3)]
+    right = [np.append(base[:99], np.uint64(300 + k)) for k in range(3)]
+    assert len(jaccard.answers(left, right, 85)) == 5
+    assert len(jaccard.answers(left, right, 85, np.array([1, 1, 1, 9, 9, 9]))) == 1
+    assert jaccard.answers(left, right, 85, np.array([4] * 6)) == []
+
+
 def test_answers_connect_as_all_pairs_do():
     draw = np.random.default_rng(5)
     for two in (False, True):
