@@ -25,12 +25,13 @@ def cast(c: Column, kind: str, strict: bool = False) -> Column:
 
 
 def clip(c: Column, low=None, high=None) -> Column:
+    """Within the bounds; null and NaN stay."""
     out = c
     if low is not None:
-        out = F.greatest(out, F.lit(low))
-    if high is not None:
-        out = F.least(out, F.lit(high))
-    return F.when(c.isNotNull(), out)
+        out = F.when(out < low, F.lit(low)).otherwise(out)
+    if high is not None:  # NaN is above all numbers in comparisons
+        out = F.when((out > high) & ~out.cast("double").isNaN(), F.lit(high)).otherwise(out)
+    return out
 
 
 def sqrt(c: Column) -> Column:

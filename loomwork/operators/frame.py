@@ -8,6 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """A name like this one that no column has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def order(cols: list[str], descending: bool = False) -> list[Column]:
     """Nulls first ascending, last descending."""
     return [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first() for c in cols]
@@ -42,9 +50,17 @@ def tail(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:
     return df.orderBy(*order(order_by, True)).limit(n).orderBy(*order(order_by))
 
 
-def sample(df: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
-    """Exactly n rows (all, if fewer), the same on each run: the smallest hashes of a key."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+def sample(df: DataFrame, n: int, key: list[str], seed: int = 42, with_replacement: bool = False) -> DataFrame:
+    """Exactly n rows (all, if fewer), the same on each run: the smallest hashes of a key. With replacement n draws of a uniform position each."""
+    if not with_replacement:
+        return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    from .ranges import row_index
+
+    at = free("__at", df)
+    total = df.agg(F.count(F.lit(1)).alias("total")).where("total > 0")
+    # Both sides of this join are one row and n.
+    draws = df.sparkSession.range(n).crossJoin(total).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.col("total")).alias(at))
+    return draws.join(row_index(df, key, at), at).drop(at)
 
 
 def drop_nulls(df: DataFrame, subset: list[str] | None = None, any_null: bool = True) -> DataFrame:
@@ -70,10 +86,16 @@ def unique(df: DataFrame, subset: list[str] | None = None, order_by: list[str] |
     if order_by is None:
         return df.dropDuplicates(subset)
     first = F.row_number().over(Window.partitionBy(*subset).orderBy(*order(order_by)))
-    return df.withColumn("__rank", first).where("__rank = 1").drop("__rank")
+    at = free("__rank", df)
+    return df.withColumn(at, first).where(F.col(at) == 1).drop(at)
 
 
 def shift_columns(df: DataFrame, n: int, columns: list[str], order_by: list[str], partition_by: list[str] = ()) -> DataFrame:
+    """Columns moved n rows on within partitions, or, without those, over the whole order in parallel ranges."""
+    if not partition_by:
+        from .ranges import shift_columns as shifted
+
+        return shifted(df, n, columns, order_by)
     w = Window.partitionBy(*partition_by).orderBy(*order(order_by))
     return df.withColumns({c: F.lag(c, n).over(w) if n >= 0 else F.lead(c, -n).over(w) for c in columns})
 
@@ -82,17 +104,22 @@ def clear(df: DataFrame) -> DataFrame:
     return df.where(F.lit(False))
 
 
-def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """statistic and a column each: count, null_count, mean, std, min, 25%, 50%, 75%, max, exact, in one pass."""
+def describe(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
+    """statistic and a column each: count, null_count, mean, std, min, 25%, 50%, 75%, max, in one pass.
+
+    Exact quartiles keep a column's distinct values; with an accuracy they are sketched in bounded memory (rank error 1 / accuracy).
+    `ranges.quantiles` gives exact ones without that buffer.
+    """
+    cut = (lambda c, q: F.percentile_approx(c, q, accuracy).cast("double")) if accuracy else F.percentile
     stats = {
         "count": lambda c: F.count(c).cast("double"),
         "null_count": lambda c: F.count_if(F.col(c).isNull()).cast("double"),
         "mean": F.avg,
         "std": F.stddev_samp,
         "min": lambda c: F.min(c).cast("double"),
-        "25%": lambda c: F.percentile(c, 0.25),
-        "50%": lambda c: F.percentile(c, 0.5),
-        "75%": lambda c: F.percentile(c, 0.75),
+        "25%": lambda c: cut(c, 0.25),
+        "50%": lambda c: cut(c, 0.5),
+        "75%": lambda c: cut(c, 0.75),
         "max": lambda c: F.max(c).cast("double"),
     }
     one = df.agg(*(F.array(*(F.struct(F.lit(k).alias("s"), f(c).alias("v")) for k, f in stats.items())).alias(c) for c in columns))
@@ -120,12 +147,19 @@ def concat(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def _there(df: DataFrame, column: str) -> Column:
+    """Neither null nor NaN."""
+    return F.col(column).isNotNull() & ~F.isnan(column) if dict(df.dtypes)[column] in ("double", "float") else F.col(column).isNotNull()
+
+
 def top_k(df: DataFrame, column: str, k: int, ties: list[str] = ()) -> DataFrame:
-    return df.where(F.col(column).isNotNull()).orderBy(F.col(column).desc(), *ties).limit(k)
+    """The k largest; nulls and NaN take no part."""
+    return df.where(_there(df, column)).orderBy(F.col(column).desc(), *ties).limit(k)
 
 
 def bottom_k(df: DataFrame, column: str, k: int, ties: list[str] = ()) -> DataFrame:
-    return df.where(F.col(column).isNotNull()).orderBy(F.col(column).asc(), *ties).limit(k)
+    """The k smallest; nulls and NaN take no part."""
+    return df.where(_there(df, column)).orderBy(F.col(column).asc(), *ties).limit(k)
 
 
 def search_sorted(df: DataFrame, column: str, value) -> DataFrame:

@@ -17,8 +17,8 @@ def unpivot(df: DataFrame, index: list[str], on: list[str], variable: str = "var
     return df.unpivot(index, on, variable, value)
 
 
-def transpose(df: DataFrame, key: str, columns: list[str], include_header: bool = True, header: str = "column") -> DataFrame:
-    """A row for each column, a column for each key value (column_0, column_1 by order of key). The number of rows must be small: they become columns."""
+def transpose(df: DataFrame, key: str, columns: list[str], include_header: bool = True, header: str = "column", column_names: list[str] | None = None) -> DataFrame:
+    """A row for each column, a column for each key value by order of key (column_0, column_1 or the names given, one for each row). The number of rows must be small: they become columns."""
     from pyspark.sql import Window
 
     limit = int(df.sparkSession.conf.get("spark.sql.transposeMaxValues", "500"))
@@ -29,8 +29,11 @@ def transpose(df: DataFrame, key: str, columns: list[str], include_header: bool
     kind = kinds.pop() if len(kinds) == 1 else "double" if kinds <= {"int", "bigint", "double", "float", "smallint", "tinyint"} else "string"
     own = rows.select((F.row_number().over(Window.orderBy(key)) - 1).alias("__i"), *(F.col(c).cast(kind).alias(c) for c in columns))
     n = own.count()
+    if column_names is not None and len(column_names) != n:
+        raise ValueError(f"{len(column_names)} names for {n} rows")
+    names = column_names or [f"column_{i}" for i in range(n)]
     long = own.unpivot(["__i"], columns, header, "__v")
-    out = long.groupBy(header).pivot("__i", list(range(n))).agg(F.first("__v")).withColumnsRenamed({str(i): f"column_{i}" for i in range(n)})
+    out = long.groupBy(header).pivot("__i", list(range(n))).agg(F.first("__v")).withColumnsRenamed({str(i): x for i, x in enumerate(names)})
     return out if include_header else out.drop(header)
 
 

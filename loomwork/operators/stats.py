@@ -20,9 +20,9 @@ def entropy(df: DataFrame, column: str) -> DataFrame:
 
 
 def hist(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """bin_start, bin_end, count: equal widths, the last bin closed, empty bins kept; a constant column has one bin of width 1."""
+    """bin_start, bin_end, count: equal widths, the last bin closed, empty bins kept; a constant column has one bin of width 1. Nulls, NaN and infinities are in no bin."""
     x = F.col(column).cast("double")
-    own = df.where(x.isNotNull()).select(x.alias("x"))
+    own = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select(x.alias("x"))
     ends = own.agg(F.min("x").alias("low"), F.max("x").alias("high"))
     ends = ends.select(F.when(F.col("low") == F.col("high"), F.col("low") - 0.5).otherwise(F.col("low")).alias("low"), F.when(F.col("low") == F.col("high"), F.col("high") + 0.5).otherwise(F.col("high")).alias("high"), F.when(F.col("low") == F.col("high"), 1).otherwise(bins).alias("bins"))
     ends = ends.withColumn("width", (F.col("high") - F.col("low")) / F.col("bins"))
@@ -33,9 +33,9 @@ def hist(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 
 def kde(df: DataFrame, column: str, bandwidth: float, points: int = 100) -> DataFrame:
-    """grid, density: Gaussian, on [min - 3h, max + 3h]. Equal values are counted first; the grid is a small constant array, so rows are never paired with rows."""
+    """grid, density: Gaussian, on [min - 3h, max + 3h], of finite values. Equal values are counted first; the grid is a small constant array, so rows are never paired with rows."""
     x = F.col(column).cast("double")
-    own = df.where(x.isNotNull()).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    own = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
     ends = own.agg((F.min("x") - 3 * bandwidth).alias("low"), (F.max("x") + 3 * bandwidth).alias("high"), F.sum("n").alias("total"))
     grid = ends.where("low is not null").select("total", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.col("low") + k * (F.col("high") - F.col("low")) / max(1, points - 1))).alias("grid"))
     near = own.join(F.broadcast(grid))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,11 @@ def over(aggregate: Column, p: list[str]) -> Column:
     return aggregate.over(Window.partitionBy(*p))
 
 
-def n_unique_over(c: str, p: list[str]) -> Column:
-    return F.size(F.collect_set(c).over(Window.partitionBy(*p)))
+def n_unique_over(df: DataFrame, c: str, p: list[str], name: str) -> DataFrame:
+    """Distinct values of each row's partition in a column of its own: an aggregate that is combined before the shuffle, joined back, and no set per row."""
+    counts = df.groupBy(*(F.col(x).alias(f"__p{i}") for i, x in enumerate(p))).agg(F.count_distinct(c).alias(name))
+    same = reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(f"__p{i}")) for i, x in enumerate(p)))
+    return df.drop(name).join(counts, same).drop(*(f"__p{i}" for i in range(len(p))))
 
 
 def rolling(f, c: str, width: int, o: list[str], p: list[str] = ()) -> Column:
@@ -126,18 +131,11 @@ def fill_with(f, c: str, p=()) -> Column:
     return F.coalesce(F.col(c), f(c).over(Window.partitionBy(*p)))
 
 
-def ewm_mean(c: str, alpha: float, o: list[str], p: list[str] = ()) -> Column:
-    """y = alpha x + (1 - alpha) y before; a null repeats the value before. One ordered fold per prefix: for short partitions; `ewm` is linear."""
-    w = spec(o, p).rowsBetween(Window.unboundedPreceding, 0)
-    fold = lambda a, x: F.when(a.isNull(), x).otherwise(a * (1 - alpha) + x * alpha)
-    return F.aggregate(F.collect_list(F.col(c).cast("double")).over(w), F.lit(None).cast("double"), fold)
-
-
 def ewm(df: DataFrame, c: str, alpha: float, o: list[str], p: list[str], mean: str | None = "ewm_mean", std: str | None = None) -> DataFrame:
     """Exponentially weighted mean and bias-corrected deviation per partition, linear in its rows.
 
     Rows come sorted and stream through Arrow batches; only the recursion's state passes from batch to batch, so a long partition
-    needs no more memory than a short one.
+    needs no more memory than a short one. Without `p` the recursion is one sequence and so one task.
     """
     import pyarrow as pa
 

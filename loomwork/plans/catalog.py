@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import binary, lists, scalar, strings, temporal, udf
+from ..functions import binary, categories, lists, maps, scalar, strings, temporal, udf
 from ..operators import frame, grouping, joins, ranges, reshape, stats, windows
 from ..session import work_path
 from ..sources import files
@@ -184,9 +184,18 @@ def set_intersect(t):
     return t.customer.select("c_nationkey").intersect(t.supplier.select("s_nationkey"))
 
 
-@query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 30")
+NULLED = "SELECT CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS k FROM customer"
+
+
+@query(f"SELECT k FROM ({NULLED}) EXCEPT SELECT CASE WHEN o_totalprice > 250000 THEN o_custkey END FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 250000")
 def set_except(t):
-    return t.part.select("p_partkey").subtract(t.lineitem.where("l_quantity > 30").select("l_partkey"))
+    own = t.customer.select(F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey")).alias("k"))
+    return own.subtract(t.orders.where("o_orderstatus = 'F' AND o_totalprice > 250000").select("o_custkey"))
+
+
+@query(f"SELECT k FROM ({NULLED}) EXCEPT ALL SELECT n_nationkey FROM nation")
+def set_except_all(t):
+    return t.customer.select(F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey")).alias("k")).exceptAll(t.nation.select("n_nationkey"))
 
 
 @query("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10")
@@ -199,9 +208,23 @@ def bottom_k(t):
     return frame.bottom_k(t.part.select("p_partkey", "p_retailprice"), "p_retailprice", 10, ["p_partkey"])
 
 
-@query()
+def _sampled(t, **how):
+    """What a sample of 100 rows has to be: rows, distinct ones, those of the table, and whether another run draws the same."""
+    own = t.orders.select("o_orderkey")
+    one, two = (frame.sample(own, 100, ["o_orderkey"], **how) for _ in range(2))
+    known = own.withColumn("known", F.lit(1))
+    seen = one.join(known, "o_orderkey", "left").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("distinct_n"), F.sum("known").alias("known"))
+    return seen.crossJoin(one.exceptAll(two).agg(F.count(F.lit(1)).alias("other")))
+
+
+@query("SELECT least(100, count(*)) AS n, least(100, count(*)) AS distinct_n, CAST(least(100, count(*)) AS BIGINT) AS known, 0 AS other FROM orders")
 def sample_exact(t):
-    return frame.sample(t.orders.select("o_orderkey"), 100, ["o_orderkey"])
+    return _sampled(t)
+
+
+@query("SELECT 100 AS n, CAST(100 AS BIGINT) AS known, 0 AS other")
+def sample_with_replacement(t):
+    return _sampled(t, with_replacement=True).drop("distinct_n")
 
 
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) WHERE i >= 2 AND (i - 2) % 7 = 0")
@@ -297,10 +320,10 @@ def join_left(t):
     return joins.join_on(t.customer, t.orders.where("o_totalprice > 300000"), ["c_custkey"], ["o_custkey"], "left").select("c_custkey", "o_orderkey")
 
 
-@query("SELECT a.k AS k, a.x AS x, b.k AS k_right, b.x AS x_right FROM (SELECT c_nationkey AS k, count(*) AS x FROM customer WHERE c_nationkey < 15 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS x FROM supplier WHERE s_nationkey > 8 GROUP BY 1) b ON a.k = b.k")
+@query("SELECT a.k AS k, a.x AS x, b.k AS k_right, b.x AS x_right FROM (SELECT c_nationkey AS k, count(*) AS x FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1 HAVING count(*) % 2 = 0) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS x FROM supplier GROUP BY 1) b ON a.k = b.k")
 def join_outer(t):
-    a = t.customer.where("c_nationkey < 15").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("x"))
-    b = t.supplier.where("s_nationkey > 8").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("x"))
+    a = t.customer.where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("x")).where("x % 2 = 0")
+    b = t.supplier.groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("x"))
     return joins.join(a, b, "k", "outer")
 
 
@@ -314,9 +337,16 @@ def join_semi(t):
     return joins.join(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "semi")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query(f"SELECT k FROM ({NULLED}) c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = k AND o_totalprice > 250000)")
 def join_anti(t):
-    return joins.join(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "anti")
+    own = t.customer.select(F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey")).alias("k"))
+    return joins.join(own, t.orders.where("o_totalprice > 250000").select(F.col("o_custkey").alias("k")), "k", "anti")
+
+
+@query("SELECT a.n_nationkey AS n_nationkey, a.n_name AS n_name, b.n_name AS n_name_right, c.n_name AS n_name_right2 FROM nation a JOIN nation b USING (n_nationkey) LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) c ON c.n_nationkey = a.n_nationkey")
+def join_chained_suffixes(t):
+    own, some = t.nation.select("n_nationkey", "n_name"), t.nation.where("n_regionkey = 1").select("n_nationkey", "n_name")
+    return joins.join(joins.join(own, own, "n_nationkey"), some, "n_nationkey", "left")
 
 
 @query("SELECT n_name, s_name FROM nation JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal > n_nationkey * 100")
@@ -324,13 +354,14 @@ def join_theta(t):
     return joins.theta(t.nation, t.supplier, (F.col("n_nationkey") == F.col("s_nationkey")) & (F.col("s_acctbal") > F.col("n_nationkey") * 100)).select("n_name", "s_name")
 
 
-ASOF_L = "(SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase' OR event_id % 3 = 0)"
-ASOF_R = "(SELECT user_id, ts, max(event_id) AS rid FROM events WHERE event_id % 3 = 1 GROUP BY user_id, ts)"
+ASOF_L = "(SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase')"
+ASOF_R = "(SELECT user_id, ts, max(event_id) AS rid FROM events WHERE event_type <> 'purchase' GROUP BY user_id, ts)"
 
 
 def _asof_sides(t):
-    left = t.events.where("event_type = 'purchase' OR event_id % 3 = 0").select("event_id", "user_id", "ts")
-    return left, t.events.where("event_id % 3 = 1").groupBy("user_id", "ts").agg(F.max("event_id").alias("rid"))
+    """Purchases, and all other events."""
+    left = t.events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return left, t.events.where("event_type <> 'purchase'").groupBy("user_id", "ts").agg(F.max("event_id").alias("rid"))
 
 
 @query(f"SELECT l.event_id, r.rid FROM {ASOF_L} l ASOF LEFT JOIN {ASOF_R} r ON l.user_id = r.user_id AND l.ts >= r.ts")
@@ -353,6 +384,34 @@ def join_asof_nearest(t):
     return joins.asof(*_asof_sides(t), "ts", ["user_id"], strategy="nearest").select("event_id", "rid")
 
 
+ASOF_ALL = "(SELECT ts, max(event_id) AS rid FROM events WHERE event_type <> 'purchase' GROUP BY ts)"
+
+
+def _asof_all(t):
+    left, right = _asof_sides(t)
+    return left, right.groupBy("ts").agg(F.max("rid").alias("rid"))
+
+
+@query(f"SELECT l.event_id, r.rid FROM {ASOF_L} l ASOF LEFT JOIN {ASOF_ALL} r ON l.ts >= r.ts")
+def join_asof_whole_order(t):
+    return joins.asof(*_asof_all(t), "ts").select("event_id", "rid")
+
+
+@query(f"SELECT l.event_id, r.rid FROM {ASOF_L} l ASOF LEFT JOIN {ASOF_ALL} r ON l.ts <= r.ts")
+def join_asof_whole_order_forward(t):
+    return joins.asof(*_asof_all(t), "ts", strategy="forward").select("event_id", "rid")
+
+
+ASOF_NULLS = "(SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 7 <> 0 THEN ts END AS ts FROM events)"
+
+
+@query(f"SELECT l.event_id, r.rid FROM {ASOF_NULLS} l LEFT JOIN (SELECT a.event_id, r.rid FROM {ASOF_NULLS} a ASOF JOIN (SELECT user_id, ts, max(event_id) AS rid FROM {ASOF_NULLS} WHERE ts IS NOT NULL AND user_id IS NOT NULL GROUP BY user_id, ts) r ON a.user_id = r.user_id AND a.ts >= r.ts WHERE a.ts IS NOT NULL AND a.user_id IS NOT NULL) r ON l.event_id = r.event_id")
+def join_asof_null_keys(t):
+    own = t.events.select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("user_id")).alias("user_id"), F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts"))
+    right = own.groupBy("user_id", "ts").agg(F.max("event_id").alias("rid"))
+    return joins.asof(own, right, "ts", ["user_id"], spread=True).select("event_id", "rid")
+
+
 @query("SELECT r_name, o_orderpriority, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus = 'F' GROUP BY ALL")
 def join_star(t):
     own = t.orders.where("o_orderstatus = 'F'").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -430,6 +489,28 @@ def hist(t):
     return stats.hist(t.part, "p_retailprice", 10).select(r("bin_start").alias("bin_start"), r("bin_end").alias("bin_end"), "count")
 
 
+FINITE = "(SELECT value FROM events WHERE event_id % 4 <> 0 AND event_id % 9 <> 0)"
+
+
+@query(f"WITH b AS (SELECT min(value) AS lo, (max(value) - min(value)) / 8 AS w FROM {FINITE}), c AS (SELECT least(CAST(floor((value - lo) / w) AS INT), 7) AS k, count(*) AS n FROM {FINITE}, b GROUP BY 1) SELECT round(lo + k * w, 4) AS bin_start, round(lo + (k + 1) * w, 4) AS bin_end, coalesce(n, 0) AS count FROM (SELECT unnest(range(8)) AS k) LEFT JOIN c USING (k), b")
+def hist_without_nan(t):
+    x = F.when(F.col("event_id") % 4 == 0, F.lit(float("nan"))).when(F.col("event_id") % 9 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
+    return stats.hist(t.events.select(x.alias("x")), "x", 8).select(r("bin_start").alias("bin_start"), r("bin_end").alias("bin_end"), "count")
+
+
+@query("SELECT event_id, value FROM events WHERE event_id % 3 <> 0 AND event_id % 4 <> 0 ORDER BY value DESC, event_id LIMIT 20")
+def top_k_without_nan(t):
+    x = F.when(F.col("event_id") % 4 == 0, F.lit(float("nan"))).when(F.col("event_id") % 3 != 0, F.col("value"))
+    return frame.top_k(t.events.select("event_id", x.alias("value")), "value", 20, ["event_id"])
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'nan' WHEN event_id % 3 = 0 THEN NULL ELSE CAST(round(least(greatest(value, 20), 60), 4) AS VARCHAR) END IS NULL AS missing, event_id % 4 = 0 AS nan, CASE WHEN event_id % 4 <> 0 AND event_id % 3 <> 0 THEN round(least(greatest(value, 20), 60), 4) END AS x FROM events")
+def clip_nan(t):
+    x = F.when(F.col("event_id") % 4 == 0, F.lit(float("nan"))).when(F.col("event_id") % 3 != 0, F.col("value"))
+    c = scalar.clip(x, 20, 60)
+    return t.events.select("event_id", c.isNull().alias("missing"), F.coalesce(F.isnan(c), F.lit(False)).alias("nan"), F.when(~F.isnan(c), r(c)).alias("x"))
+
+
 @query("WITH b AS (SELECT min(p_size) - 6.0 AS lo, max(p_size) + 6.0 AS hi, count(*) AS n FROM part), g AS (SELECT lo + k * (hi - lo) / 49 AS grid, n FROM (SELECT unnest(range(50)) AS k), b) SELECT round(grid, 4) AS grid, round(sum(exp(-0.5 * pow((grid - p_size) / 2.0, 2))) / (any_value(n) * 2.0 * sqrt(2 * pi())), 8) AS density FROM g, part GROUP BY 1")
 def kde(t):
     return stats.kde(t.part, "p_size", 2.0, 50).select(r("grid").alias("grid"), r("density", 8).alias("density"))
@@ -450,6 +531,11 @@ def dynamic_both_offset_by(t):
     return grouping.dynamic(t.events, "event_id", 100, [F.count(F.lit(1)).alias("n")], offset=30, closed="both", by=["event_type"], label="start").select("event_type", big("start").alias("start"), "n")
 
 
+@query("WITH b AS (SELECT min(event_id) AS lo FROM events) SELECT lo + k * 60 AS start, count(*) AS n FROM b, (SELECT unnest(range(-3, 50000)) AS k) JOIN events ON event_id >= lo + k * 60 AND event_id < lo + k * 60 + 90 GROUP BY 1")
+def dynamic_start_by_datapoint(t):
+    return grouping.dynamic(t.events, "event_id", 60, [F.count(F.lit(1)).alias("n")], period=90, label="start", start_by="datapoint").select(big("start").alias("start"), "n")
+
+
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 7199999999 PRECEDING AND CURRENT ROW) AS n, round(sum(value) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 7199999999 PRECEDING AND CURRENT ROW), 2) AS s FROM events")
 def rolling_group(t):
     out = grouping.rolling(t.events, "ts", "2h", {"n": F.count(F.lit(1)), "s": F.sum("value")}, by=["user_id"])
@@ -466,9 +552,11 @@ def map_groups(t):
     return udf.map_groups(t.customer.select("c_mktsegment", "c_acctbal"), ["c_mktsegment"], f, "c_mktsegment string, n long, spread double")
 
 
-@query()
+@query("SELECT o_orderpriority, count(DISTINCT o_custkey) AS n, true AS near FROM orders GROUP BY 1")
 def approx_n_unique(t):
-    return t.orders.agg(F.approx_count_distinct("o_custkey", 0.02).alias("n"))
+    """Whether the sketch is within six times its relative deviation of the exact count."""
+    own = t.orders.groupBy("o_orderpriority").agg(F.count_distinct("o_custkey").alias("n"), F.approx_count_distinct("o_custkey", 0.02).alias("about"))
+    return own.select("o_orderpriority", "n", (F.abs(F.col("about") - F.col("n")) <= 1 + 0.12 * F.col("n")).alias("near"))
 
 
 # --- 2.7 windows
@@ -481,7 +569,7 @@ def over_fraction(t):
 
 @query("SELECT o_orderkey, CAST(list_unique(list(o_orderpriority) OVER (PARTITION BY o_custkey)) AS BIGINT) AS n FROM orders")
 def over_n_unique(t):
-    return t.orders.select("o_orderkey", big(windows.n_unique_over("o_orderpriority", ["o_custkey"])).alias("n"))
+    return windows.n_unique_over(t.orders.select("o_orderkey", "o_orderpriority", "o_custkey"), "o_orderpriority", ["o_custkey"], "n").select("o_orderkey", "n")
 
 
 ROLL = "PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW"
@@ -504,8 +592,19 @@ def cumulative_all(t):
 
 @query("SELECT event_id, round(sum(value) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING), 2) AS s, max(value) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS hi FROM events")
 def cumulative_global(t):
-    own = ranges.cum_sum(t.events.select("event_id", "value"), "value", ["event_id"], "s")
-    return ranges.cum_max(own, "value", ["event_id"], "hi").select("event_id", r("s", 2).alias("s"), "hi")
+    own = ranges.scan(t.events.select("event_id", "value"), ["event_id"], ranges.sum_value("value", "s"), ranges.max_value("value", "hi"))
+    return own.select("event_id", r("s", 2).alias("s"), "hi")
+
+
+@query("SELECT row_number() OVER (ORDER BY event_type, event_id) - 1 AS index, event_id FROM events")
+def row_index_text_key(t):
+    return ranges.row_index(t.events.select("event_type", "event_id"), ["event_type", "event_id"]).select("index", "event_id")
+
+
+@query("SELECT round(quantile_cont(l_extendedprice, 0.1), 4) AS lo, round(quantile_cont(l_extendedprice, 0.5), 4) AS mid, round(quantile_cont(l_extendedprice, 0.99), 4) AS hi FROM lineitem")
+def quantiles_whole_order(t):
+    found = ranges.quantiles(t.lineitem, "l_extendedprice", [0.1, 0.5, 0.99])
+    return t.spark.createDataFrame([tuple(found)], "lo double, mid double, hi double").select(*(r(c).alias(c) for c in ("lo", "mid", "hi")))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(product(1 - l_discount) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) + 1e-11, 8) AS p, count(*) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_over FROM lineitem")
@@ -522,11 +621,6 @@ def ewm_mean(t):
     return windows.ewm(t.events.select("user_id", "event_id", "value"), "value", 0.5, ["event_id"], ["user_id"], "ewm").select("event_id", r(F.col("ewm") + TIE).alias("ewm"))
 
 
-@query(EWM)
-def ewm_mean_fold(t):
-    return t.events.select("event_id", r(windows.ewm_mean("value", 0.5, ["event_id"], ["user_id"]) + TIE).alias("ewm"))
-
-
 @query("WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), p AS (SELECT a.user_id, a.event_id, a.i, b.value AS x, CASE WHEN b.i = 1 THEN pow(0.5, a.i - 1) ELSE 0.5 * pow(0.5, a.i - b.i) END AS w FROM e a JOIN e b ON a.user_id = b.user_id AND b.i <= a.i), m AS (SELECT user_id, event_id, i, sum(w * x) / sum(w) AS mu, sum(w) AS s, sum(w * w) AS s2 FROM p GROUP BY ALL) SELECT p.event_id, CASE WHEN any_value(m.i) = 1 THEN 0.0 ELSE round(sqrt(sum(w * (x - mu) * (x - mu)) / any_value(s) * (any_value(s) * any_value(s) / (any_value(s) * any_value(s) - any_value(s2)))), 3) END AS sd FROM p JOIN m ON p.event_id = m.event_id GROUP BY 1")
 def ewm_std(t):
     return windows.ewm(t.events.select("user_id", "event_id", "value"), "value", 0.5, ["event_id"], ["user_id"], None, "sd").select("event_id", r("sd", 3).alias("sd"))
@@ -576,9 +670,14 @@ def unpivot(t):
     return reshape.unpivot(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_tax"), ["l_orderkey", "l_linenumber"], ["l_quantity", "l_tax"])
 
 
-@query("SELECT 'r_name' AS \"column\", max(r_name) FILTER (r_regionkey = 0) AS column_0, max(r_name) FILTER (r_regionkey = 1) AS column_1, max(r_name) FILTER (r_regionkey = 4) AS column_4 FROM region")
+@query("SELECT 'r_name' AS \"column\", " + ", ".join(f"max(r_name) FILTER (r_regionkey = {k}) AS column_{k}" for k in range(5)) + " FROM region")
 def transpose(t):
-    return reshape.transpose(t.region, "r_regionkey", ["r_name"]).select("column", "column_0", "column_1", "column_4")
+    return reshape.transpose(t.region, "r_regionkey", ["r_name"])
+
+
+@query("SELECT 'r_name' AS field, " + ", ".join(f"max(r_name) FILTER (r_regionkey = {k}) AS {x}" for k, x in enumerate("abcde")) + " FROM region")
+def transpose_named(t):
+    return reshape.transpose(t.region, "r_regionkey", ["r_name"], header="field", column_names=list("abcde"))
 
 
 @query("SELECT doc_id, unnest(string_split(text, '. ')) AS part FROM documents")
@@ -613,14 +712,17 @@ def log_ieee(t):
     return t.events.select("event_id", F.when(F.isnan(x), "nan").when(x == -scalar.INF, "-inf").otherwise("finite").alias("kind"))
 
 
-@query()
+@query("SELECT p_partkey, CAST(list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, length(p_name) + 1), lambda i: ascii(p_name[i])::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS VARCHAR) AS h FROM part")
 def hash_fnv1a(t):
-    return t.nation.select("n_nationkey", udf.fnv1a(F.col("n_name")).alias("h"))
+    return t.part.select("p_partkey", udf.fnv1a(F.col("p_name")).cast("string").alias("h"))
 
 
-@query()
+@query("SELECT c_custkey, CASE WHEN c_custkey = 0 THEN 0 ELSE (1023 + CAST(floor(log2(c_custkey)) AS BIGINT)) * 4503599627370496 + CAST((c_custkey / pow(2, floor(log2(c_custkey))) - 1) * 4503599627370496 AS BIGINT) END AS bits, true AS back FROM customer")
 def reinterpret_bits(t):
-    return t.orders.select("o_orderkey", udf.reinterpret(F.col("o_totalprice"), "double", "bigint").alias("bits"))
+    """The bits of whole numbers as doubles, and back."""
+    bits = udf.reinterpret(F.col("c_custkey").cast("double"), "double", "bigint")
+    own = t.customer.select("c_custkey", bits.alias("bits"))
+    return own.select("c_custkey", "bits", (udf.reinterpret(F.col("bits"), "bigint", "double") == F.col("c_custkey")).alias("back"))
 
 
 # --- 2.11 strings
@@ -706,34 +808,35 @@ def temporal_totals(t):
 
 # --- 2.14 lists and structs
 
-EMB = "(SELECT vec_id, embedding[1:6] AS e FROM embeddings)"
+EMB = "(SELECT vec_id, embedding AS e FROM embeddings)"
 
 
 def _emb(t):
-    return t.embeddings.select("vec_id", F.slice("embedding", 1, 6).alias("e"))
+    return t.embeddings.select("vec_id", F.col("embedding").alias("e"))
 
 
-@query(f"SELECT vec_id, CAST(len(e) AS BIGINT) AS n, round(list_sum(e::DOUBLE[]), 5) AS s, round(list_avg(e::DOUBLE[]), 5) AS m, list_min(e) AS lo, list_max(e) AS hi, e[1] AS fst, e[-1] AS lst, e[10] AS none FROM {EMB}")
+@query(f"SELECT vec_id, CAST(len(e) AS BIGINT) AS n, round(list_sum(e::DOUBLE[]), 4) AS s, round(list_avg(e::DOUBLE[]), 5) AS m, list_min(e) AS lo, list_max(e) AS hi, e[1] AS fst, e[-1] AS lst, e[100] AS none FROM {EMB}")
 def list_aggregates(t):
     e = F.col("e")
-    return _emb(t).select("vec_id", big(lists.lengths(e)).alias("n"), r(lists.sum_(e), 5).alias("s"), r(lists.mean(e), 5).alias("m"), lists.min_(e).alias("lo"), lists.max_(e).alias("hi"), lists.get(e, 0).alias("fst"), lists.get(e, -1).alias("lst"), lists.get(e, 9).alias("none"))
+    return _emb(t).select("vec_id", big(lists.lengths(e)).alias("n"), r(lists.sum_(e), 4).alias("s"), r(lists.mean(e), 5).alias("m"), lists.min_(e).alias("lo"), lists.max_(e).alias("hi"), lists.get(e, 0).alias("fst"), lists.get(e, -1).alias("lst"), lists.get(e, 99).alias("none"))
 
 
-WORDS = "(SELECT doc_id, string_split(text, ' ')[1:8] AS w FROM documents)"
+WORDS = "(SELECT doc_id, string_split(text, ' ') AS w FROM documents)"
 
 
 @query(f"SELECT doc_id, list_contains(w, 'the') AS c, array_to_string(w, '|') AS j, array_to_string(list_sort(w), '|') AS so, array_to_string(list_reverse(w), '|') AS rv, array_to_string(list_transform(w, lambda x: lower(x)), '|') AS ev, array_to_string(w[3:4], '|') AS sl, CAST(list_unique(w) AS BIGINT) AS un FROM {WORDS}")
 def list_transforms(t):
     w = F.col("w")
-    own = t.documents.select("doc_id", F.slice(strings.split(F.col("text"), " "), 1, 8).alias("w"))
+    own = t.documents.select("doc_id", strings.split(F.col("text"), " ").alias("w"))
     return own.select("doc_id", lists.contains(w, "the").alias("c"), lists.join(w, "|").alias("j"), lists.join(lists.sort(w), "|").alias("so"), lists.join(lists.reverse(w), "|").alias("rv"), lists.join(lists.eval_(w, F.lower), "|").alias("ev"), lists.join(lists.slice_(w, 2, 2), "|").alias("sl"), big(lists.lengths(lists.unique(w))).alias("un"))
 
 
-@query(f"SELECT vec_id, CAST(list_position(e, list_min(e)) - 1 AS BIGINT) AS lo, CAST(list_position(e, list_max(e)) - 1 AS BIGINT) AS hi, e[2] AS sh, round(e[3]::DOUBLE - e[2]::DOUBLE, 5) AS df FROM {EMB}")
+@query(f"SELECT vec_id, CAST(list_position(e, list_min(e)) - 1 AS BIGINT) AS lo, CAST(list_position(e, list_max(e)) - 1 AS BIGINT) AS hi, array_to_string(list_transform(list_prepend(NULL, e[:-2]), lambda x: coalesce(CAST(round(x::DOUBLE, 4) * 10000 AS BIGINT), 0)), ' ') AS sh, array_to_string(list_transform(range(1, len(e) + 1), lambda i: CASE WHEN i = 1 THEN 0 ELSE CAST(round((e[i]::DOUBLE - e[i - 1]::DOUBLE) * 1000) AS BIGINT) END), ' ') AS df FROM {EMB}")
 def list_arg_diff_shift(t):
     e = F.col("e")
     own = _emb(t).withColumn("d", F.transform("e", lambda x: x.cast("double")))
-    return own.select("vec_id", big(lists.arg_min(e)).alias("lo"), big(lists.arg_max(e)).alias("hi"), lists.shift(e, 1)[2].alias("sh"), r(lists.diff(F.col("d"), 1)[2], 5).alias("df"))
+    whole = lambda c, f: lists.join(F.transform(c, lambda x: F.coalesce(F.round(f(x)).cast("long"), F.lit(0)).cast("string")), " ")
+    return own.select("vec_id", big(lists.arg_min(e)).alias("lo"), big(lists.arg_max(e)).alias("hi"), whole(lists.shift(F.col("d"), 1), lambda x: F.round(x, 4) * 10000).alias("sh"), whole(lists.diff(F.col("d"), 1), lambda x: x * 1000).alias("df"))
 
 
 @query("SELECT c_custkey, c_name AS label, c_acctbal * 2 AS twice, '{\"label\":\"' || c_name || '\",\"none\":null}' AS j FROM customer")
@@ -744,6 +847,39 @@ def struct_functions(t):
     return own.select("c_custkey", lists.field(F.col("s"), "label").alias("label"), F.col("s.twice").alias("twice"), small.alias("j"))
 
 
+@query("SELECT page, array_to_string(list_sort(map_keys(m)), ',') AS ks, CAST(cardinality(m) AS BIGINT) AS n, m['b'] AS b, m['zz'] AS none, map_contains(m, 'a') AS has FROM (SELECT page_id AS page, MAP {'a': page_id, 'b': page_id * 2, 'c': page_id * 3} AS m FROM pages)")
+def map_functions(t):
+    k = F.col("page_id")
+    m = maps.merge(maps.from_lists(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.array(k * 0, k, k * 3)), F.create_map(F.lit("a"), k))
+    m = maps.filter_(maps.merge(m, maps.map_values(F.create_map(F.lit("b"), k), lambda v: v * 2)), lambda x, _: x != "z")
+    own = t.pages.select(F.col("page_id").alias("page"), m.alias("m"))
+    return own.select("page", lists.join(lists.sort(maps.keys(F.col("m"))), ",").alias("ks"), maps.lengths(F.col("m")).alias("n"), maps.get(F.col("m"), "b").alias("b"), maps.get(F.col("m"), "zz").alias("none"), maps.contains(F.col("m"), "a").alias("has"))
+
+
+# --- enums, categories, times of day
+
+RANKED = ["5-LOW", "3-MEDIUM", "1-URGENT"]
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority IN ('5-LOW', '3-MEDIUM', '1-URGENT') THEN o_orderpriority END AS value, CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 END AS code, CASE WHEN o_orderpriority IN ('5-LOW', '3-MEDIUM', '1-URGENT') THEN o_orderpriority END AS back FROM orders")
+def enum_values(t):
+    c = F.col("o_orderpriority")
+    own = t.orders.select("o_orderkey", categories.enum_cast(c, RANKED).alias("value"), categories.enum_code(c, RANKED).alias("code"))
+    return own.withColumn("back", categories.enum_value(F.col("code"), RANKED))
+
+
+@query("WITH f AS (SELECT c_mktsegment, row_number() OVER (ORDER BY min(c_custkey)) - 1 AS code FROM customer GROUP BY 1) SELECT c_custkey, code FROM customer JOIN f USING (c_mktsegment)")
+def categorical_codes(t):
+    return categories.categorical(t.customer.select("c_custkey", "c_mktsegment"), "c_mktsegment", ["c_custkey"], "code").select("c_custkey", "code")
+
+
+@query("SELECT event_id, (epoch_us(ts) % 86400000000) * 1000 AS t, hour(ts) AS h, minute(ts) AS m, second(ts) AS s, ((epoch_us(ts) % 86400000000) * 1000 + 79200000000000) % 86400000000000 AS later, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS BIGINT) * 1000000000 AS made FROM events")
+def time_of_day(t):
+    own = t.events.select("event_id", categories.time_of_day(F.col("ts")).alias("t"))
+    h, m, s = (f(F.col("t")) for f in (categories.time_hour, categories.time_minute, categories.time_second))
+    return own.select("event_id", "t", h.alias("h"), m.alias("m"), s.alias("s"), categories.add_to_time(F.col("t"), F.lit(22 * 3600 * categories.SECOND)).alias("later"), categories.make_time(h, m, s).alias("made"))
+
+
 # --- 2.15 user functions
 
 
@@ -757,6 +893,26 @@ def map_batches(t):
     return udf.map_batches(t.orders.select("o_orderkey", "o_totalprice"), lambda p: p.assign(twice=p.o_totalprice * 2)[["o_orderkey", "twice"]], "o_orderkey long, twice double")
 
 
+@query("SELECT c_mktsegment, round(max(c_acctbal) - min(c_acctbal), 2) AS spread FROM customer GROUP BY 1")
+def registered_aggregate(t):
+    udf.register_aggregate(t.spark, "loomwork_spread", lambda s: float(s.max() - s.min()), "double")
+    t.customer.createOrReplaceTempView("loomwork_customer")
+    return t.spark.sql("SELECT c_mktsegment, round(loomwork_spread(c_acctbal), 2) AS spread FROM loomwork_customer GROUP BY 1")
+
+
+class _Letters:
+    def eval(self, text: str):
+        for k, c in enumerate(text or ""):
+            yield k, c
+
+
+@query("SELECT n_nationkey, i AS place, n_name[i + 1] AS letter FROM (SELECT n_nationkey, n_name, CAST(unnest(range(length(n_name))) AS INT) AS i FROM nation)")
+def registered_table_function(t):
+    udf.register_table_function(t.spark, "loomwork_letters", _Letters, "place int, letter string")
+    t.nation.createOrReplaceTempView("loomwork_nation")
+    return t.spark.sql("SELECT n_nationkey, place, letter FROM loomwork_nation, LATERAL loomwork_letters(n_name)")
+
+
 # --- 2.1, 2.2 sources, 2.16 streams
 
 
@@ -796,6 +952,81 @@ def ipc_sink(t):
     return files.write_ipc(t.part, path).agg(F.sum("rows").alias("n"))
 
 
+@query("SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+def ipc_round_trip(t):
+    path = work_path(t.spark, "ipc")
+    files.write_ipc(t.part.select("p_partkey", "p_name", "p_size", "p_retailprice"), path).count()
+    return files.scan_ipc(t.spark, path)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_with_mark(t):
+    path = work_path(t.spark, "csv")
+    files.write_csv(t.nation.select("n_nationkey", "n_name", "n_regionkey"), path, bom=True)
+    return files.scan_csv(t.spark, path, "n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def json_array_files(t):
+    path = work_path(t.spark, "json")
+    files.write_json(t.nation.select("n_nationkey", "n_name", "n_regionkey"), path, ndjson=False)
+    return files.scan_json(t.spark, path, "n_nationkey int, n_name string, n_regionkey int", array=True)
+
+
+@query("SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 40")
+def sql_database(t):
+    """A table in a SQLite file in the shared folder, read back with projection and limit pushed into the query's text."""
+    import os
+    import sqlite3
+    import tempfile
+    import uuid
+
+    base = work_path(t.spark, "database").removeprefix("file:")
+    if "://" in base:  # SQLite reads files only
+        base = f"{tempfile.gettempdir()}/{uuid.uuid4().hex}"
+    os.makedirs(os.path.dirname(base), exist_ok=True)
+    with sqlite3.connect(path := f"{base}.db") as c:
+        c.execute("CREATE TABLE supplier (s_suppkey INTEGER, s_name TEXT, s_acctbal REAL)")
+        for b in files.batches(t.supplier.select("s_suppkey", "s_name", "s_acctbal"), 1000):
+            c.executemany("INSERT INTO supplier VALUES (?, ?, ?)", zip(*(x.to_pylist() for x in b.columns)))
+    return files.read_sql(t.spark, "SELECT * FROM supplier ORDER BY s_suppkey;", "sqlite", path, ["s_suppkey", "s_name"], 40, 10)
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def from_cursor(t):
+    class Cursor:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def fetchmany(self, n):
+            out, self.rows = self.rows[:n], self.rows[n:]
+            return out
+
+    rows = [tuple(x) for x in t.region.select("r_regionkey", "r_name").collect()]
+    return files.from_cursor(t.spark, Cursor(rows), "r_regionkey long, r_name string", 2)
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS rows, CAST(sum(n_nationkey) AS BIGINT) AS keys, true AS bounded FROM nation")
+def collect_batches(t):
+    """Batches on the driver, and the same by a future."""
+    own = t.nation.select(big("n_nationkey").alias("n_nationkey"))
+    got = list(files.batches(own, 7))
+    table = files.collect_async(own).result()
+    return t.spark.createDataFrame([(sum(b.num_rows for b in got), sum(sum(b.column(0).to_pylist()) for b in got), max(b.num_rows for b in got) <= 7 and table.num_rows == sum(b.num_rows for b in got))], "rows long, keys long, bounded boolean")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS rows, true AS timed FROM region")
+def profile(t):
+    table, phases = files.profile(t.region.orderBy("r_regionkey"))
+    return t.spark.createDataFrame([(table.num_rows, phases["execution"] > 0 and "planning" in phases)], "rows long, timed boolean")
+
+
+@query("SELECT r_regionkey AS k, r_name AS name FROM region")
+def to_dict(t):
+    held = files.to_dict(t.region.select("r_regionkey", "r_name"))
+    return files.from_rows(t.spark, list(zip(held["r_regionkey"], held["r_name"])), "k long, name string")
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def arrow_round_trip(t):
     return files.from_arrow(t.spark, files.to_arrow(t.nation))
@@ -815,7 +1046,7 @@ def stream_tumbling(t):
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_deduplicated(t):
-    live = stream.event_time(t.live("events").select("user_id", "event_type", "ts"), "ts", "3650 days")
+    live = stream.event_time(t.live("events").select("user_id", "event_type", "ts"), "ts", "1 day")
     out = stream.run_to_table(stream.deduplicated(live, ["user_id", "event_type"]), work_path(t.spark, "seen"), work_path(t.spark, "progress"), "append")
     return out.select("user_id", "event_type")
 

@@ -1,4 +1,4 @@
-"""A Spark data source for SQLite files: format("loomwork_sqlite") with options path, query and, for parallel reads, key, low, high, parts."""
+"""A Spark data source for SQLite files: format("loomwork_sqlite") with options path, query and, for parallel reads, key, low, high, parts; chunk is the number of rows fetched at a time."""
 
 from __future__ import annotations
 
@@ -47,7 +47,9 @@ class SqliteReader(DataSourceReader):
     def read(self, partition):
         where = f" WHERE {partition.value}" if partition.value else ""
         with sqlite3.connect(self.options["path"]) as c:
-            yield from c.execute(f"SELECT * FROM ({self.options['query']}){where}")
+            c = c.execute(f"SELECT * FROM ({self.options['query']}){where}")
+            while rows := c.fetchmany(int(self.options.get("chunk", 10_000))):
+                yield from rows
 
 
 def scan_sqlite(spark: SparkSession, path: str, query: str, **options):

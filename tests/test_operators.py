@@ -36,6 +36,81 @@ def test_asof(spark):
     assert got(tolerance=4) == [None, None, None]
 
 
+@pytest.mark.parametrize("spread", [True, False])
+@pytest.mark.parametrize("strategy", ["backward", "forward", "nearest"])
+def test_asof_null_keys_and_hot_keys(spark, spread, strategy, monkeypatch):
+    monkeypatch.setattr(ranges, "LEAST", 5)
+    draw = __import__("random").Random(7)
+    some = lambda x: None if draw.random() < 0.1 else x
+    left = [(i, some(draw.randrange(400)), some("a" if draw.random() < 0.7 else "b")) for i in range(120)]
+    right = [(100 + i, some(draw.randrange(400)), some("a" if draw.random() < 0.7 else "c")) for i in range(60)]
+    l = spark.createDataFrame(left, "i int, t int, g string")  # noqa: E741
+    r = spark.createDataFrame(right, "i int, t int, g string")
+    got = {x.i: x.i_right for x in joins.asof(l, r, "t", ["g"], strategy=strategy, right_order_by=["i"], spread=spread).collect()}
+    for i, t, g in left:
+        same = [(u, j) for j, u, h in right if None not in (t, g, u, h) and g == h]
+        back, ahead = [x for x in same if x[0] <= t] if same else [], [x for x in same if x[0] >= t] if same else []
+        b, a = max(back, default=None), min(ahead, default=None)
+        want = {"backward": b, "forward": a, "nearest": a if b is None else b if a is None or t - b[0] <= a[0] - t else a}[strategy]
+        assert got[i] == (want and want[1]), (i, t, g)
+
+
+def test_joined_names_are_free(spark):
+    own = spark.createDataFrame([(1, 2)], "k int, v int")
+    out = joins.join(joins.join(joins.join(own, own, "k"), own, "k"), own.withColumnRenamed("v", "v_right"), "k")
+    assert out.columns == ["k", "v", "v_right", "v_right2", "v_right_right"] and out.first().v_right2 == 2
+
+
+def test_helper_names_do_not_clash(spark):
+    df = spark.createDataFrame([(0, 1, 5), (10, 2, 6)], "t long, __x int, __rank int")
+    assert grouping.rolling(df, "t", 10, {"n": F.count(F.lit(1))}).columns == ["t", "__x", "__rank", "n"]
+    assert frame.unique(df, ["__x"], ["t"]).columns == df.columns
+    own = spark.createDataFrame([(2, 1, 1, 1, 1)], "k int, __range int, __total0 int, __before0 int, __local0 int")
+    assert [tuple(x) for x in ranges.row_index(own, ["k"]).collect()] == [(0, 2, 1, 1, 1, 1)]
+
+
+def test_ranges_of_any_key(spark, monkeypatch):
+    """Text keys, nulls, times, and a first key that nearly all rows share; many ranges and few."""
+    rows = [(None if i % 11 == 0 else "same" if i % 3 else f"k{i % 17}", i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "s string, i int").withColumn("ts", F.timestamp_seconds(F.col("i") % 100).cast("timestamp_ntz"))
+    for least in (3, 150):
+        monkeypatch.setattr(ranges, "LEAST", least)
+        part = ranges.ranged(df, ["s", "i"], "part").groupBy("part").count().collect()
+        assert max(r["count"] for r in part) < 1500 / least * 4
+        want = sorted(rows, key=lambda x: (x[0] is not None, x[0] or "", x[1]))
+        assert [(r.s, r.i) for r in ranges.row_index(df, ["s", "i"]).orderBy("index").collect()] == want
+        assert [r.i for r in ranges.row_index(df, ["ts", "i"]).orderBy("index").collect()] == sorted(range(1500), key=lambda i: (i % 100, i))
+        moved = {r.k: r.i for r in frame.shift_columns(df.withColumn("k", F.col("i")), 3, ["i"], ["k"]).collect()}
+        assert moved == {i: i - 3 if i > 2 else None for i in range(1500)}
+    assert ranges.quantiles(df, "i", [0, 0.25, 1]) == [0, 374.75, 1499] and ranges.quantiles(df.limit(0), "i", [0.5]) == [None]
+
+
+def test_samples(spark):
+    df = spark.range(50)
+    again = frame.sample(df, 200, ["id"], with_replacement=True)
+    assert again.count() == 200 and 30 < again.distinct().count() <= 50 and again.collect() == again.collect()
+    assert frame.sample(df, 80, ["id"]).count() == 50 and frame.sample(df.limit(0), 5, ["id"], with_replacement=True).count() == 0
+
+
+def test_sql_texts():
+    assert files.sql_text("SELECT 1;", "sqlserver", ["a]b"], 5) == "SELECT TOP (5) [a]]b] FROM (SELECT 1) AS q"
+    assert files.sql_text("SELECT 1", "postgresql", limit=3) == "SELECT * FROM (SELECT 1) AS q LIMIT 3"
+    assert files.sql_text("SELECT 1", "oracle", ["x"], 3) == 'SELECT "x" FROM (SELECT 1) q FETCH FIRST 3 ROWS ONLY'
+    assert files.sql_text(" SELECT 1 ; ") == "SELECT 1"
+    with pytest.raises(ValueError):
+        files.sql_text("SELECT 1", "other", limit=1)
+
+
+def test_deduplication_drops_old_state(spark, tmp_path):
+    """A key seen again after the watermark has passed is new, as its state is gone."""
+    for k, rows in enumerate(([(1, 0), (1, 10), (2, 20)], [(9, 100_000)], [(9, 100_001), (1, 100_100)])):
+        df = spark.createDataFrame(rows, "k int, s long").selectExpr("k", "timestamp_seconds(s) AS ts").coalesce(1)
+        df.write.mode("append").parquet(f"{tmp_path}/in")
+        live = stream.event_time(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "ts", "1 minute")
+        stream.run_to_table(stream.deduplicated(live, ["k"]), f"{tmp_path}/out", f"{tmp_path}/progress", "append")
+    assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 1, 2, 9]
+
+
 def test_outer_join_keeps_both_keys(spark):
     left, right = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string"), spark.createDataFrame([(2, 20), (3, 30)], "id int, salary int")
     out = joins.join(left, right, "id", "outer")
@@ -68,7 +143,6 @@ def test_ewm(spark):
     out = windows.ewm(df, "x", 0.5, ["i"], ["p"], "m", "s")
     assert col(out, "m", "i") == [10.0, 15.0, 22.5]
     assert col(out, "s", "i") == pytest.approx([0, 7.0710678, 10.4880885])
-    assert col(df.withColumn("m", windows.ewm_mean("x", 0.5, ["i"])), "m", "i") == [10.0, 15.0, 22.5]
 
 
 def test_row_index_and_cumulative_over_ranges(spark):
@@ -114,7 +188,10 @@ def test_scalars_and_user_functions(spark):
     assert [repr(r[0]) for r in df.select(scalar.true_div(F.col("a"), F.col("b"))).collect()] == ["inf", "-inf", "nan", "None"]
     assert [r[0] for r in df.select(scalar.clip(F.col("a"), 0, 0.5)).collect()] == [0.5, 0.0, 0.0, None]
     assert df.select(udf.reinterpret(F.col("a"), "double", "bigint")).first()[0] == 4607182418800017408
-    assert int(spark.createDataFrame([("a",)], "s string").select(udf.fnv1a(F.col("s"))).first()[0]) == 0xAF63DC4C8601EC8C
+    hashed = spark.createDataFrame([("a",), ("foobar",), (None,), ("",)], "s string").select(udf.fnv1a(F.col("s"))).collect()
+    assert [int(r[0]) for r in hashed] == [0xAF63DC4C8601EC8C, 0x85944171F73967E8, 0xCBF29CE484222325, 0xCBF29CE484222325]
+    nan = spark.createDataFrame([(float("nan"),), (5.0,), (-5.0,)], "a double")
+    assert [repr(r[0]) for r in nan.select(scalar.clip(F.col("a"), -1, 1)).collect()] == ["nan", "1.0", "-1.0"]
     assert [r[0] for r in df.select(udf.map_elements(F.col("a"), lambda x: x + 1, "double")).collect()] == [2.0, 0.0, 1.0, None]
 
 
@@ -139,7 +216,17 @@ def test_files_round_trip(spark, tmp_path):
         assert sum(opened(r.file).read_all().num_rows for r in done) == 2
     assert files.from_arrow(spark, files.to_arrow(df)).count() == 2
     assert files.to_dict(df)["i"] == [1, 2]
-    assert sum(map(len, files.batches(df, 1))) == 2
+    assert sum(b.num_rows for b in files.batches(df, 1)) == 2 and next(files.batches(df, 1)).num_rows == 1
+    for is_stream in (False, True):
+        assert sorted(map(tuple, files.scan_ipc(spark, f"{tmp_path}/a{is_stream}").collect())) == [(1, 'a,"b"', 1.5), (2, None, None)]
+    files.write_csv(df, f"{tmp_path}/bom", bom=True)
+    marked = list((tmp_path / "bom").glob("part-*"))
+    assert marked and all(p.read_bytes().startswith(b"\xef\xbb\xbfi,") for p in marked)
+    assert sorted(map(tuple, files.scan_csv(spark, f"{tmp_path}/bom", schema).collect())) == [(1, 'a,"b"', 1.5), (2, None, None)]
+    files.write_json(df, f"{tmp_path}/arrays", ndjson=False)
+    import json
+
+    assert sum(len(json.loads(p.read_text())) for p in (tmp_path / "arrays").glob("part-*")) == 2
 
 
 def test_sqlite_source(spark, tmp_path):
