@@ -115,6 +115,13 @@ def subtract(a: Column, b: Column) -> Column:
     return a - b
 
 
+def interval_micros(c: Column) -> Column:
+    """A day-time interval in microseconds."""
+    days = F.extract(F.lit("DAY"), c).cast("long")
+    hours, minutes = F.extract(F.lit("HOUR"), c).cast("long"), F.extract(F.lit("MINUTE"), c).cast("long")
+    return ((days * 24 + hours) * 60 + minutes) * 60_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
+
+
 def subtract_duration(c: Column, duration: str) -> Column:
     return from_micros(unix_micros(c) - micros(duration))
 

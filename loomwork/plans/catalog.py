@@ -109,6 +109,11 @@ def sort_multi(t):
     return frame.sort(t.customer, ["c_mktsegment", "c_acctbal", "c_custkey"], [False, True, False]).select("c_custkey", "c_mktsegment")
 
 
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 17")
+def limit(t):
+    return frame.limit(t.customer.select("c_custkey", "c_name"), 17, ["c_custkey"])
+
+
 @query("SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 10 OFFSET 5")
 def slice_offset(t):
     return frame.slice_(t.customer.select("c_custkey"), 5, 10, ["c_custkey"])
@@ -762,6 +767,11 @@ def json_codec(t):
     return t.events.select("event_id", strings.json_decode(F.col("props"), "k bigint")["k"].alias("k"), strings.json_encode(F.col("event_type")).alias("j"))
 
 
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS title FROM part")
+def string_title(t):
+    return t.part.select("p_partkey", strings.title(F.col("p_name")).alias("title"))
+
+
 # --- 2.12 binary
 
 
@@ -806,6 +816,12 @@ def temporal_totals(t):
     return t.events.select("event_id", r(temporal.total(F.col("ts"), zero, "days"), 6).alias("d"), r(temporal.total(F.col("ts"), zero, "hours"), 6).alias("h"), temporal.total(F.col("ts"), zero, "seconds").alias("s"))
 
 
+@query("SELECT event_id, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS us FROM events")
+def temporal_subtract(t):
+    gap = temporal.subtract(F.col("ts"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    return t.events.select("event_id", temporal.interval_micros(gap).alias("us"))
+
+
 # --- 2.14 lists and structs
 
 EMB = "(SELECT vec_id, embedding AS e FROM embeddings)"
@@ -839,6 +855,12 @@ def list_arg_diff_shift(t):
     return own.select("vec_id", big(lists.arg_min(e)).alias("lo"), big(lists.arg_max(e)).alias("hi"), whole(lists.shift(F.col("d"), 1), lambda x: F.round(x, 4) * 10000).alias("sh"), whole(lists.diff(F.col("d"), 1), lambda x: x * 1000).alias("df"))
 
 
+@query("SELECT vec_id, CAST(64 AS BIGINT) AS n, e[64] AS lst FROM " + EMB)
+def array_fixed_width(t):
+    e = lists.fixed_width(F.col("e"), 64)
+    return _emb(t).select("vec_id", big(lists.lengths(e)).alias("n"), lists.get(e, 63).alias("lst"))
+
+
 @query("SELECT c_custkey, c_name AS label, c_acctbal * 2 AS twice, '{\"label\":\"' || c_name || '\",\"none\":null}' AS j FROM customer")
 def struct_functions(t):
     s = F.struct("c_name", "c_acctbal")
@@ -932,6 +954,14 @@ def csv_round_trip(t):
     return files.scan_csv(t.spark, path, CUSTOMERS, sep=";")
 
 
+@query("SELECT p_partkey, try_cast(CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE CAST(p_size AS VARCHAR) END AS BIGINT) AS size, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_retailprice END AS price FROM part")
+def csv_bad_values(t):
+    """A value that is none of its column's type is null, the row stays."""
+    path, k = work_path(t.spark, "csv"), F.col("p_partkey")
+    files.write_csv(t.part.select(k, F.when(k % 3 == 0, "x").otherwise(F.col("p_size").cast("string")).alias("size"), F.when(k % 5 == 0, "n/a").otherwise(F.col("p_retailprice").cast("string")).alias("price")), path)
+    return files.scan_csv(t.spark, path, "p_partkey long, size long, price double")
+
+
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 0")
 def json_round_trip(t):
     path = work_path(t.spark, "json")
