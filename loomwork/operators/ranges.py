@@ -7,6 +7,7 @@ with one row per range carries what comes before it. The number of ranges follow
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from .frame import free, order
 
 #: Bytes of a range, the least and the most ranges, and sampled keys of a range.
-RANGE_BYTES, LEAST, MOST, SAMPLED = 128 << 20, 8, 4096, 64
-SEED = 17
+RANGE_BYTES, LEAST, MOST, SAMPLED = 128 << 20, 8, 1024, 64
+NESTED, SEED = 15, 17
 
 
 def _keys(df: DataFrame, order_by: list[str]) -> list[Column]:
@@ -39,18 +40,42 @@ def ranged(df: DataFrame, order_by: list[str], name: str, ranges: int | None = N
     drawn = sorted_keys(keys.orderBy(F.rand(SEED)).limit(SAMPLED * ranges))
     cuts = list(dict.fromkeys(tuple(drawn[len(drawn) * k // ranges]) for k in range(1, ranges))) if drawn else []
     kinds = [f.dataType for f in keys.schema]
-    literal = lambda row: F.struct(*(F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(row, kinds))))
-    x = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(_keys(df, order_by))))
-    below = lambda at: F.size(F.filter(at, lambda c: c < x))
-    if not cuts:
-        return df.withColumn(name, F.lit(0))
-    if len(cuts) <= 64:
-        return df.withColumn(name, below(F.array(*map(literal, cuts))))
-    # Two levels: first which 64 cuts, then which of those.
-    parts = [cuts[k : k + 64] for k in range(0, len(cuts), 64)]
-    first = below(F.array(*(literal(p[-1]) for p in parts)))
-    inner = F.array(*(F.array(*map(literal, p)) for p in parts))
-    return df.withColumn(name, first * 64 + F.coalesce(below(F.get(inner, first)), F.lit(0)))
+    x = [F.col(f"{name}_{i}") for i in range(len(kinds))]
+    literal = lambda row: [F.lit(v).cast(t) for v, t in zip(row, kinds)]
+    with_keys = df.withColumns({f"{name}_{i}": k for i, k in enumerate(_keys(df, order_by))})
+    number = _search(x, cuts, literal)
+    return with_keys.withColumn(name, number).drop(*(f"{name}_{i}" for i in range(len(kinds))))
+
+
+def _after(x: list[Column], cut: tuple, literals: list[Column]) -> Column:
+    """Whether keys come after a cut, nulls first; key by key, so that most rows are told by the first."""
+    out = F.lit(False)
+    for k, v, c in zip(reversed(x), reversed(cut), reversed(literals)):
+        if v is None:
+            out = k.isNotNull() | out
+        else:
+            out = F.coalesce((k > c) | ((k == c) & out), F.lit(False))
+    return out
+
+
+def _search(x: list[Column], cuts: list[tuple], literal: Callable) -> Column:
+    """How many cuts keys come after: a binary search, of few cuts as nested conditions in generated code, of many in two levels of arrays, so the expression stays small."""
+    if len(cuts) > NESTED:
+        step = math.isqrt(len(cuts)) + 1
+        row = lambda v: F.struct(*(c.alias(f"k{i}") for i, c in enumerate(v)))
+        below = lambda at: F.size(F.filter(at, lambda c: c < row(x)))
+        parts = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+        first = below(F.array(*(row(literal(p[-1])) for p in parts)))
+        inner = F.array(*(F.array(*(row(literal(c)) for c in p)) for p in parts))
+        return first * step + F.coalesce(below(F.get(inner, first)), F.lit(0))
+
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(_after(x, cuts[mid], literal(cuts[mid])), within(mid + 1, high)).otherwise(within(low, mid))
+
+    return within(0, len(cuts))
 
 
 def sorted_keys(sample: DataFrame) -> list[tuple]:

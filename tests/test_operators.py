@@ -73,7 +73,7 @@ def test_ranges_of_any_key(spark, monkeypatch):
     """Text keys, nulls, times, and a first key that nearly all rows share; many ranges and few."""
     rows = [(None if i % 11 == 0 else "same" if i % 3 else f"k{i % 17}", i) for i in range(1500)]
     df = spark.createDataFrame(rows, "s string, i int").withColumn("ts", F.timestamp_seconds(F.col("i") % 100).cast("timestamp_ntz"))
-    for least in (3, 150):
+    for least in (3, 60):
         monkeypatch.setattr(ranges, "LEAST", least)
         part = ranges.ranged(df, ["s", "i"], "part").groupBy("part").count().collect()
         assert max(r["count"] for r in part) < 1500 / least * 4
