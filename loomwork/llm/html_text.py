@@ -8,6 +8,7 @@ their tag or name (navigation, forms, comments and such); of pages whose text is
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from html.parser import HTMLParser
@@ -44,6 +45,8 @@ STRUCTURE = HEADINGS | frozenset("header li dt dd td th caption figcaption block
 NAMED = 0.1
 #: Elements of ASIDE that may be around a whole page.
 WRAPS = frozenset("form fieldset".split())
+#: Elements nested deeper stand side by side, as browsers have it.
+DEPTH = 512
 _WHITE = re.compile(r"\s+")
 
 
@@ -56,13 +59,13 @@ class _Reader(HTMLParser):
         self.blocks: list[tuple[tuple, str, int]] = []
         self.buffer: list[str] = []
         self.path: tuple = ()
-        self.links, self.number, self.silent, self.anchors = 0, 0, 0, 0
+        self.links, self.number, self.silent, self.anchors, self.begun = 0, 0, 0, 0, False
 
     def flush(self):
         text = _WHITE.sub(" ", "".join(self.buffer)).strip()
         if text:
             self.blocks.append((self.path, text, self.links))
-        self.buffer, self.links = [], 0
+        self.buffer, self.links, self.begun = [], 0, False
 
     def block_path(self) -> tuple:
         at = max((k for k, x in enumerate(self.stack) if x[0] in BLOCKS), default=-1)
@@ -85,6 +88,8 @@ class _Reader(HTMLParser):
             self.close_within("p", ("article", "section", "div", "td", "th", "li", "body", "button", "blockquote"))
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             self.close_within(tag, ("ul", "ol", "dl", "table", "select"))
+        if len(self.stack) >= DEPTH:
+            self.pop(DEPTH - 1)
         own = dict(attrs)
         name = " ".join(own.get(k) or "" for k in ("class", "id", "role")).strip()
         self.number += 1
@@ -119,8 +124,8 @@ class _Reader(HTMLParser):
     def handle_data(self, data):
         if self.silent:
             return
-        if not "".join(self.buffer).strip():
-            self.path = self.block_path()
+        if not self.begun and not data.isspace():
+            self.path, self.begun = self.block_path(), True
         self.buffer.append(data)
         if self.anchors:
             self.links += len(data.strip())
@@ -154,11 +159,17 @@ def _named(path: tuple, most: frozenset) -> bool:
         inside = inside or tag in ("article", "main")
         if tag in ("html", "body", "article", "main") or tag in HEADINGS or number in most:
             continue
-        if any(not (inside and x.group().strip(" \t\n_-").lower() in OWN_PARTS) for x in NAMES.finditer(name)):
+        if any(not (inside and x in OWN_PARTS) for x in _names(name)):
             return True
     return False
 
 
+@functools.lru_cache(4096)
+def _names(name: str) -> tuple[str, ...]:
+    """Words of a name that boilerplate is called by."""
+    return tuple(x.group().strip(" \t\n_-").lower() for x in NAMES.finditer(name))
+
+
 def _spared(path: tuple) -> bool:
     return any(tag in STRUCTURE or OWN_PARTS & set(re.split(r"[\s_-]", name.lower())) for tag, name, _ in path)
 

@@ -308,6 +308,42 @@ def test_pages_scores_decide_within_an_article():
     assert got == "\n".join(["Head", long.strip(), "Short one.", "two eggs", long.strip()])
 
 
+def test_pages_scores_change_the_result(monkeypatch):
+    long = "A paragraph of the text, which goes on for a while, as such do. It has more than one sentence, too, and is the longest. " * 3
+    page = f"<article><h1>Head</h1><p>{long}</p><p>{long}</p><div class=x8>12 views</div></article><div class=x9>Other</div>"
+    bare = page.replace("article", "div")
+    want = [html_text.main_text(x) for x in (page, bare)]
+    assert want == ["\n".join(["Head", long.strip(), long.strip()])] * 2
+    monkeypatch.setattr(html_text, "path_scores", lambda blocks: np.ones(len(blocks)))
+    assert [html_text.main_text(x) for x in (page, bare)] != want and all("12 views" in html_text.main_text(x) for x in (page, bare))
+
+
+def test_pages_without_article_or_names_keep_their_text(spark):
+    import re
+
+    kept, changed = [], 0
+    draw = np.random.default_rng(2)
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        want = html_text.main_text(r.html).split("\n")
+        bare = re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", re.sub(r"(</?)(?:article|main)\b", r"\1div", r.html))
+        got = set(html_text.main_text(bare).split("\n"))
+        kept.append(sum(len(x) for x in want if x in got) / max(1, sum(map(len, want))))
+        scores = html_text.path_scores
+        html_text.path_scores = lambda blocks: 100 * draw.random(len(blocks))
+        changed += html_text.main_text(r.html).split("\n") != want
+        html_text.path_scores = scores
+    assert min(kept) >= 0.95 and changed > len(kept) / 3
+
+
+def test_pages_parse_in_linear_time():
+    import time
+
+    begun = time.time()
+    assert len(html_text.main_text("<article><p>" + "a <b>x</b> c " * 40_000 + "</p></article>")) == 6 * 40_000 - 1
+    assert html_text.main_text("<div>some text" * 5_000) == "\n".join(["some text"] * 5_000)
+    assert time.time() - begun < 6
+
+
 def test_pages_of_the_table(spark):
     import html
     import re
