@@ -2,11 +2,14 @@
 
 Features of a candidate: its length, transitions between character classes, shares of digits, upper-case letters and vowels, share of
 distinct characters, how much of it dictionary words and runs of one character cover, whether it looks like a path or a plain number, and
-whether the neighbouring words name a credential or an example. The forest is trained on labelled findings with numpy on the driver (the
-features of those come from the same SQL expressions) and applied as one SQL expression of nested conditions.
-
-The tables hold no labels for findings, so `labelled_findings` draws them from a seeded generator: real-looking keys of
-each kind and their look-alikes (placeholders, words, paths, versions, identifiers). Pass `labelled` to learn from others.
+whether the neighbouring words name a credential or an example. The dictionary is what the documents themselves say: the DICTIONARY words of
+five to twelve letters that most documents hold, besides a few that placeholders are made of. The forest is trained on labelled findings with
+numpy on the driver (the features of those come from the same SQL expressions) and applied as one SQL expression of nested conditions.
+
+Labelled findings are a table, a file or rows of found, before, after, label: the matched text, up to CONTEXT characters on either side of it,
+and 1 for a secret or 0 for none (`read_labelled` reads CSV with a header, JSON lines or Parquet). Of a larger table MOST_LABELLED rows, chosen
+by hash, are learned from. The test tables hold none, so without any `labelled_findings` draws them from a seeded generator: real-looking
+keys of each kind and their look-alikes (placeholders, words, paths, versions, identifiers).
 """
 
 from __future__ import annotations
@@ -28,14 +31,24 @@ FORMATS = {
     "stripe_key": r"\b[sr]k_(?:live|test)_[A-Za-z0-9]{16,}\b",
     "google_key": r"\bAIza[0-9A-Za-z_-]{35}",
     "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----)?+",
+    "openai_key": r"\bsk-(?:proj-|svcacct-|ant-)?[A-Za-z0-9_-]{32,}",
+    "gitlab_token": r"\bgl(?:pat|ptt|dt|rt)-[A-Za-z0-9_-]{20,}",
+    "npm_token": r"\bnpm_[A-Za-z0-9]{36}\b",
+    "huggingface_token": r"\bhf_[A-Za-z0-9]{30,}\b",
+    "sendgrid_key": r"\bSG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}",
+    "private_key": r"-----BEGIN (?:[A-Z ]*PRIVATE KEY|PGP PRIVATE KEY BLOCK)-----(?:(?:[^-]++|-(?!----))*+-----END (?:[A-Z ]*PRIVATE KEY|PGP PRIVATE KEY BLOCK)-----)?+",
+    "url_password": r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'<>]{1,64}:[^\s/:@\"'<>]{3,}+@",
     "assignment": r"(?i:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|token|passw(?:or)?d|passwd|pwd|credentials?|bearer|auth[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[^\s\"'<>,;(){}]{6,}+",
 }
 CANDIDATE = "|".join(FORMATS.values())
+#: What comes before the value in a match.
+_LEAD = r"(?i)^[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'<>]{1,64}:|^(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|token|passw(?:or)?d|passwd|pwd|credentials?|bearer|auth[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
 _KEYWORD = r"(?i)^(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|token|passw(?:or)?d|passwd|pwd|credentials?|bearer|auth[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
 WORDS = r"example|sample|placeholder|changeme|change|your|dummy|fake|test|password|passwd|secret|token|key|here|insert|redacted|none|null|true|false|value|string|config|user|admin|default|localhost|http|https|www|com|the|and|for|with|this|that|from|name|file|path|home|env|process|get|set|abc|qwerty|letmein|welcome"
 EXAMPLES = r"(?i)example|sample|dummy|placeholder|fake|test|docs?\b|e\.g\."
 CONTEXT = 40
+#: Words of the corpus's dictionary; the documents that must hold one; labelled findings that are learned from at most.
+DICTIONARY, LEAST_DOCUMENTS, MOST_LABELLED = 2000, 5, 20_000
 THRESHOLD = 0.5
 FEATURES = ("length", "transitions", "digits", "uppers", "vowels", "distinct", "dictionary", "repeats", "path", "number", "named", "example")
 
@@ -44,7 +57,16 @@ def _share(value: Column, pattern: str) -> Column:
     return (F.length(value) - F.length(F.regexp_replace(value, pattern, ""))) / F.greatest(F.length(value), F.lit(1))
 
 
-def feature_columns(value: Column, found: Column, before: Column, after: Column) -> dict[str, Column]:
+def dictionary(documents: DataFrame, words: int = DICTIONARY, least: int = LEAST_DOCUMENTS) -> list[str]:
+    """The words (five to twelve letters a to z, lower-cased) that most documents hold, counted over all of them; ties by word."""
+    own = documents.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_column(documents)), F.lit(r"\b[a-z]{5,12}\b"), F.lit(0)))).alias("w"))
+    counts = own.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
+    return [r.w for r in counts.orderBy(F.col("c").desc(), "w").limit(words).collect()]
+
+
+def feature_columns(value: Column, found: Column, before: Column, after: Column, words: list[str] = ()) -> dict[str, Column]:
+    """The features by name; `words` are the corpus's dictionary."""
+    known = "|".join([WORDS, *sorted(words, key=lambda w: (-len(w), w))])
     classes = F.translate(value, string.ascii_lowercase + string.ascii_uppercase + string.digits, "a" * 26 + "A" * 26 + "9" * 10)
     runs = F.length(F.regexp_replace(classes, r"(.)\1+", "$1"))
     return {
@@ -54,7 +76,7 @@ def feature_columns(value: Column, found: Column, before: Column, after: Column)
         "uppers": _share(value, "[A-Z]"),
         "vowels": _share(value, "(?i)[aeiou]"),
         "distinct": F.size(F.array_distinct(F.split(F.lower(value), ""))) / F.least(F.greatest(F.length(value), F.lit(1)), F.lit(36)),
-        "dictionary": _share(value, f"(?i)(?:{WORDS})"),
+        "dictionary": _share(value, f"(?i)(?:{known})"),
         "repeats": _share(value, r"(.)\1{2,}|0123|1234|2345|3456|4567|5678|6789|abcd|xyz"),
         "path": value.rlike(r"://|^[/~.]|\w/\w+/|\w\.\w+\.\w|\$\{|%[A-Z]|\[|^<").cast("double"),
         "number": value.rlike(r"^[0-9.,:/-]+$|^[0-9a-f]{8}-[0-9a-f]{4}-").cast("double"),
@@ -64,7 +86,8 @@ def feature_columns(value: Column, found: Column, before: Column, after: Column)
 
 
 def value_of(found: Column) -> Column:
-    return F.regexp_replace(found, _KEYWORD, "")
+    """The secret in a match: without the name it is assigned to, or the scheme, user and @ of a URL."""
+    return F.regexp_replace(F.regexp_replace(found, _LEAD, ""), r"(?<=.)@$", "")
 
 
 def _draw(rng: random.Random, alphabet: str, low: int, high: int | None = None) -> str:
@@ -95,6 +118,11 @@ def labelled_findings(n: int = 3000, seed: int = 13) -> list[tuple[str, str, str
         lambda: "xoxb-" + _draw(rng, num, 11) + "-" + _draw(rng, every, 24),
         lambda: "sk_live_" + _draw(rng, every, 24),
         lambda: "AIza" + _draw(rng, every + "_-", 35),
+        lambda: "sk-" + rng.choice(["", "proj-"]) + _draw(rng, every + "_-", 40, 120),
+        lambda: "glpat-" + _draw(rng, every + "_-", 20),
+        lambda: rng.choice(["npm_", "hf_"]) + _draw(rng, every, 36),
+        lambda: "SG." + _draw(rng, every + "_-", 22) + "." + _draw(rng, every + "_-", 43),
+        lambda: rng.choice(["postgres", "mysql", "https", "amqp"]) + "://" + word() + ":" + _draw(rng, every + "!#%&*", 8, 24) + "@",
         lambda: "eyJ" + _draw(rng, every, 20, 40) + ".eyJ" + _draw(rng, every, 30, 90) + "." + _draw(rng, every + "_-", 43),
         lambda: "-----BEGIN " + (kind := rng.choice(["RSA ", "EC ", "", "OPENSSH "])) + "PRIVATE KEY-----" + rng.choice(["", "\n" + _draw(rng, every + "+/", 64, 1600) + "\n-----END " + kind + "PRIVATE KEY-----"]),
         lambda: assigned(_draw(rng, hexa, 16, 64)),
@@ -106,6 +134,9 @@ def labelled_findings(n: int = 3000, seed: int = 13) -> list[tuple[str, str, str
     false = [
         lambda: "AKIA" + rng.choice(["IOSFODNN7EXAMPLE", "XXXXXXXXXXXXXXXX", "0000000000000000", "1234567890123456", "ABCDEFGHIJKLMNOP"]),
         lambda: "ghp_" + rng.choice("xX0a") * 36,
+        lambda: "sk-" + "-".join(word() for _ in range(9)) + "-" + word() * 4,
+        lambda: rng.choice(["npm_", "hf_"]) + rng.choice("xX0a") * 36,
+        lambda: rng.choice(["postgres", "mysql", "https", "amqp"]) + "://user:" + rng.choice(["password", "secret", "changeme", "<pw>", "pass", "xxxx", "your_password", word()]) + "@",
         lambda: "sk_test_" + rng.choice(["x" * 24, "example" * 3, "1234567890123456"]),
         lambda: assigned("".join(rng.choice(words) for _ in range(rng.randint(1, 4)))),
         lambda: assigned(rng.choice(words) + rng.choice("_-.") + rng.choice(words) + rng.choice(["", "_here", "123", "1"])),
@@ -171,15 +202,27 @@ def forest(x: np.ndarray, y: np.ndarray, trees: int = 15, seed: int = 3) -> list
     return out
 
 
-def train(spark: SparkSession, labelled: list[tuple[str, str, str, int]] | None = None) -> list[Tree]:
-    rows = labelled if labelled is not None else labelled_findings()
-    own = spark.createDataFrame(rows, "found string, before string, after string, label int").withColumn("value", value_of(F.col("found")))
-    columns = feature_columns(F.col("value"), F.col("found"), F.col("before"), F.col("after"))
+def read_labelled(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled findings of a file or folder: Parquet, JSON lines (.json, .jsonl), or CSV with a header (.csv, quoted, lines may break within quotes)."""
+    kind, schema = path.rstrip("/").rsplit(".", 1)[-1], "found string, before string, after string, label int"
+    if kind in ("json", "jsonl"):
+        return spark.read.schema(schema).json(path)
+    if kind == "csv":
+        return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return spark.read.parquet(path).select("found", "before", "after", F.col("label").cast("int").alias("label"))
+
+
+def train(spark: SparkSession, labelled: DataFrame | list[tuple[str, str, str, int]] | None = None, words: list[str] = ()) -> list[Tree]:
+    """A forest from labelled findings (a table, or rows); rows without a text or label are left out, null neighbours are empty. With none left no candidate is a secret."""
+    rows = labelled if isinstance(labelled, DataFrame) else spark.createDataFrame(labelled if labelled is not None else labelled_findings(), "found string, before string, after string, label int")
+    rows = rows.where("found is not null and label in (0, 1)").orderBy(F.xxhash64("found", "before", "after", "label")).limit(MOST_LABELLED)
+    own = rows.select("found", *(F.coalesce(c, F.lit("")).alias(c) for c in ("before", "after")), "label").withColumn("value", value_of(F.col("found")))
+    columns = feature_columns(F.col("value"), F.col("found"), F.col("before"), F.col("after"), words)
     data = np.array([tuple(map(float, r)) for r in own.select(*(columns[k].cast("double").alias(k) for k in FEATURES), "label").collect()])
-    return forest(data[:, :-1], data[:, -1])
+    return forest(data[:, :-1], data[:, -1]) if len(data) else []
 
 
-def findings(documents: DataFrame, trees: list[Tree]) -> DataFrame:
+def findings(documents: DataFrame, trees: list[Tree], words: list[str] = ()) -> DataFrame:
     """doc_id, ordinal, kind, start, length, value_sha256, score, is_secret: every candidate of every row, the forest's share of votes and its decision.
 
     start counts characters from 0. A null or empty text has no candidates. Repeated rows are reported each, a null doc_id as
@@ -195,13 +238,19 @@ def findings(documents: DataFrame, trees: list[Tree]) -> DataFrame:
     flat = one.select("doc_id", "row", "ordinal", F.col("x.found").alias("found"), F.col("x.before.size").alias("gap"), F.coalesce("x.before.tail", F.lit("")).alias("before"), F.coalesce("x.after.head", F.lit("")).alias("after"))
     so_far = Window.partitionBy("row").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
     placed = flat.withColumn("end", F.sum(F.col("gap") + F.length("found")).over(so_far)).withColumn("value", value_of(F.col("found")))
-    columns = feature_columns(F.col("value"), F.col("found"), F.col("before"), F.col("after"))
+    columns = feature_columns(F.col("value"), F.col("found"), F.col("before"), F.col("after"), words)
     featured = placed.select("doc_id", "ordinal", "found", "value", "end", *(columns[k].cast("double").alias(f"f_{k}") for k in FEATURES))
     inputs = [F.col(f"f_{k}") for k in FEATURES]
     score = sum((t.column(inputs) for t in trees), F.lit(0.0)) / max(1, len(trees))
     kind = F.coalesce(*(F.when(F.col("found").rlike(f"^(?:{p})$"), k) for k, p in FORMATS.items()))
-    return featured.select("doc_id", "ordinal", kind.alias("kind"), (F.col("end") - F.length("value")).cast("long").alias("start"), F.length("value").cast("long").alias("length"), F.sha2(F.col("value"), 256).alias("value_sha256"), score.alias("score")).withColumn("is_secret", F.col("score") >= THRESHOLD)
+    return featured.select("doc_id", "ordinal", kind.alias("kind"), (F.col("end") - F.length("value") - F.when(F.col("found").rlike(f"^(?:{FORMATS['url_password']})$"), 1).otherwise(0)).cast("long").alias("start"), F.length("value").cast("long").alias("length"), F.sha2(F.col("value"), 256).alias("value_sha256"), score.alias("score")).withColumn("is_secret", F.col("score") >= THRESHOLD)
+
 
+def secret_table(documents: DataFrame, labelled: DataFrame | list[tuple[str, str, str, int]] | None = None) -> DataFrame:
+    """findings() with a dictionary counted over all documents and a forest trained on the labelled findings (or drawn ones).
 
-def secret_table(documents: DataFrame, labelled: list[tuple[str, str, str, int]] | None = None) -> DataFrame:
-    return findings(documents, train(documents.sparkSession, labelled))
+    Null and empty texts count no words and have no candidates; a null doc_id is reported as null, repeated rows are each; an empty table gives an
+    empty table; extra columns are ignored.
+    """
+    words = dictionary(documents)
+    return findings(documents, train(documents.sparkSession, labelled, words), words)
