@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import prepare, text_column, trimmed
+from .common import new_path, prepare, removed, text_column, trimmed, written
 
 #: An item is found where its edit distance is at most this share of its length.
 TOLERANCE = 0.2
@@ -42,6 +42,8 @@ PIECE, PIECE_SHARE, DRIFT, SHORT = 64, 0.28, 20, 48
 #: Characters of a word after which each is a place of its own.
 LONG_WORD = 16
 CHUNK = 1 << 13
+#: Collisions that are held before their pieces are compared.
+HELD = 1_000_000
 MOST_ITEMS, MOST_CHARS = 20_000, 16_000_000
 
 _GAP = np.zeros(256, bool)
@@ -51,7 +53,9 @@ _SPLIT = re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
 def normal(text: str | None) -> bytes:
-    return b" ".join(x for x in _SPLIT.split((text or "").lower().encode()) if x)
+    """As documents are compared: lower-cased by the same rules, runs of other ASCII characters as one space."""
+    low = pc.utf8_lower(pa.scalar(text or "", pa.large_string())).as_py()
+    return b" ".join(x for x in _SPLIT.split(low.encode()) if x)
 
 
 def edit_search(item: str, text: str) -> tuple[int, int]:
@@ -204,14 +208,18 @@ class Table:
         seen[(keys >> np.uint64(shift)).astype(np.int64)] = True
         return cls(keys[order], item[order], place[order], seen, shift)
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index into keys, item, place) of all that agree."""
+    def find(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(index into keys, item, place) of all that agree, in parts of about HELD (those of one key stand together)."""
         spots = np.flatnonzero(self.seen[(keys >> np.uint64(self.shift)).astype(np.int64)])
         lo, hi = np.searchsorted(self.keys, keys[spots], "left"), np.searchsorted(self.keys, keys[spots], "right")
         some = hi > lo
         spots, lo, n = spots[some], lo[some], (hi - lo)[some]
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.repeat(spots, n), self.item[at], self.place[at]
+        part = (np.cumsum(n) - n) // HELD
+        for k in range(int(part[-1]) + 1 if len(part) else 0):
+            a, b = np.searchsorted(part, [k, k + 1])
+            m = n[a:b]
+            at = np.repeat(lo[a:b] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            yield np.repeat(spots[a:b], m), self.item[at], self.place[at]
 
 
 @dataclass
@@ -262,30 +270,45 @@ class Index:
         out.short = {size: Table.of([np.array(x, np.uint64) for x in keys], item, place) for size, (keys, item, place) in pieces.items()}
         return out
 
-    def candidates(self, code: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, item, place in the item) of all collisions, each once."""
-        found = []
+    def collisions(self, code: np.ndarray, symbol: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(position, item, place in the item) of all collisions, some more than once."""
         if self.walked is not None:
             at = places(code)
             for k in range(0, len(at), CHUNK):
                 begin = at[k : k + CHUNK]
                 for key, _ in signatures(symbol, begin):
-                    spot, item, place = self.walked.find(key)
-                    if len(spot):
-                        found.append((begin[spot], item, place))
+                    for spot, item, place in self.walked.find(key):
+                        yield begin[spot], item, place
         for size, table in self.short.items():
-            found.append(table.find(grams(code, size)))
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
-        at, item, place = (np.concatenate(x).astype(np.int64) for x in zip(*found))
-        # Of one diagonal, one collision for each piece of the item.
-        key = np.stack([item, at - place, self.pieces(item, place)])
-        order = np.lexsort(key)
-        key = key[:, order]
-        new = np.ones(len(order), bool)
-        new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
-        order = order[new]
-        return at[order], item[order], place[order]
+            yield from table.find(grams(code, size))
+
+    def candidates(self, code: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, item, place in the item) of the collisions around which the item's piece is near the text. A stock phrase of many items gives many collisions; no more than about HELD are kept at a time."""
+        out, held, size = [], [], 0
+
+        def compared():
+            at, item, place = (np.concatenate(x).astype(np.int64) for x in zip(*held))
+            # Of one diagonal, one collision for each piece of the item.
+            key = np.stack([item, at - place, self.pieces(item, place)])
+            order = np.lexsort(key)
+            key = key[:, order]
+            new = np.ones(len(order), bool)
+            new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+            order = order[new]
+            at, item, place = at[order], item[order], place[order]
+            close = self.near(symbol, at, item, place)
+            return at[close], item[close], place[close]
+
+        for found in self.collisions(code, symbol):
+            if len(found[0]):
+                held.append(found)
+                size += len(found[0])
+                if size >= HELD:
+                    out.append(compared())
+                    held, size = [], 0
+        if held:
+            out.append(compared())
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
     def pieces(self, item: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Where in its item the piece around a place begins; a short item is one piece, with the spaces around it if its script has them."""
@@ -318,8 +341,6 @@ class Index:
             code = codes(text)
             symbol = symbols(code)
             at, item, place = self.candidates(code, symbol)
-            close = self.near(symbol, at, item, place)
-            at, item, place = at[close], item[close], place[close]
             row = np.searchsorted(rows, at + (place < 0), "right") - 1
             # Neighbouring diagonals are searched once.
             diagonal = at - place
@@ -374,13 +395,18 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, distance, item_chars, similarity: every item found in every row, with its smallest edit distance.
 
     Null or empty texts hold nothing, null or empty items are not searched; equal items are found each. Repeated rows are
-    reported each; a null doc_id is reported as null. Empty tables give an empty table; extra columns are ignored.
+    reported each; a null doc_id is reported as null. Empty tables give an empty table; extra columns are ignored. Of a benchmark
+    of several blocks each block's findings are written before the next is sent out.
     """
     spark = documents.sparkSession
     prepare(spark)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(documents).alias("text"))
-    out = None
+    path, kind, own, shared = None, "doc_id long, item_id long, distance long, item_chars long", None, None
     for index in item_blocks(benchmark):
+        if own is not None:
+            path = path or new_path(spark, "leaks")
+            own.write.mode("append").parquet(path)
+            shared.destroy()
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):
@@ -390,17 +416,28 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     row, item, distance, size = zip(*found)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(item, pa.int64()), pa.array(distance, pa.int64()), pa.array(size, pa.int64())], schema=_LEAKS)
 
-        own = rows.mapInArrow(trimmed(run), "doc_id long, item_id long, distance long, item_chars long")
-        out = own if out is None else out.union(own)
+        own = rows.mapInArrow(trimmed(run), kind)
+    out = own if path is None else own.union(spark.read.schema(kind).parquet(path))
     return out.withColumn("similarity", 1 - F.col("distance") / F.col("item_chars"))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows in which no item is found, columns as given."""
+    """The rows in which no item is found, columns as given.
+
+    Rows with a null or empty text, and with a null doc_id, are judged by their text like any: the former stay. Repeated rows stay or go each. An
+    empty table gives an empty table, an empty benchmark all rows. What a block of a larger benchmark leaves is written before
+    the next is sent out.
+    """
     spark = documents.sparkSession
     prepare(spark)
-    out, text = documents, documents.columns.index("text")
+    out, text, shared, before = documents, documents.columns.index("text"), None, None
     for index in item_blocks(benchmark):
+        if shared is not None:
+            out = written(out, "clean")
+            shared.destroy()
+            if before is not None:
+                removed(spark, before)
+            before = out
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared):

@@ -109,6 +109,54 @@ def test_recall_up_to_the_tolerance():
                 assert found[k, i] == (plain_distance(decontaminate.normal(dict(items)[i]).decode(), whole), size)
 
 
+def test_recall_in_every_band():
+    """Words edited, and characters edited, at each distance up to the tolerance."""
+    draw = random.Random(21)
+    items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{DATA}/benchmark.parquet").to_pylist()]
+    index, words = decontaminate.Index.of(items), [w for _, t in items for w in t.split()]
+    for by_word in (True, False):
+        texts, want = [], []
+        for i, t in items:
+            a = decontaminate.normal(t).decode()
+            for rate in (0.02, 0.05, 0.08, 0.11, 0.14, 0.17, 0.2):
+                pieces = t.split(" ") if by_word else list(t)
+                edited = (" " if by_word else "").join(x for c in pieces for x in ([c], [], [draw.choice(words) if by_word else draw.choice("abcdefghij")], [c, draw.choice(words) if by_word else draw.choice("abcdefghij")])[draw.randrange(1, 4) if draw.random() < rate else 0])
+                share = decontaminate.edit_search(a, decontaminate.normal(edited).decode())[0] / len(a)
+                if share <= 0.2:
+                    texts.append(" ".join([*draw.choices(words, k=40), edited, *draw.choices(words, k=40)]))
+                    want.append((i, min(3, int(share / 0.05))))
+        found = {(row, item) for row, item, *_ in index.find(pa.array(texts))}
+        for band in range(4):
+            own = [(k, i) for k, (i, b) in enumerate(want) if b == band]
+            assert len(own) >= 15 and sum(x in found for x in own) >= 0.9 * len(own), (by_word, band)
+
+
+def test_a_stock_phrase_of_many_items_is_bounded(monkeypatch):
+    """Collisions are compared in parts; what is found does not depend on their size."""
+    draw = random.Random(1)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(3, 8)))
+    items = [(k, "which of the following " + " ".join(word() for _ in range(20))) for k in range(400)]
+    docs = [" ".join(x for _ in range(20) for x in ["which of the following", *(word() for _ in range(30))]) for _ in range(4)] + [items[7][1], "so " + items[9][1][:-2]]
+    index = decontaminate.Index.of(items)
+    want = list(index.find(pa.array(docs)))
+    monkeypatch.setattr(decontaminate, "HELD", 300)
+    assert list(index.find(pa.array(docs))) == want and [x[:2] for x in want] == [(4, 7), (5, 9)]
+
+
+def test_benchmarks_of_several_blocks(spark, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
+    want, kept = sorted(map(tuple, decontaminate.leaks(docs, bench).collect())), sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "MOST_ITEMS", bench.count() // 3)
+    assert sorted(map(tuple, decontaminate.leaks(docs, bench).collect())) == want
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == kept
+
+
+def test_texts_and_items_are_lowered_alike():
+    for text in ("ΟΔΥΣΣΕΥΣ ΚΑΙ ΠΗΝΕΛΟΠΗ ΕΙΣ ΤΗΝ ΙΘΑΚΗΝ ΠΑΛΙΝ ΗΛΘΟΝ", "İSTANBUL İÇİNDE BİR SEFER DAHA GÖRÜLDÜ YİNE"):
+        index = decontaminate.Index.of([(1, text)])
+        assert [(i, d) for _, i, d, _ in index.find(pa.array([f"a b {text} c d"]))] == [(1, 0)]
+
+
 def test_exact_leaks_of_the_tables(spark):
     docs, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
     texts = [(r.doc_id, decontaminate.normal(r.text)) for r in docs.collect()]
