@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import held_out, prepare, text_column, train_row, written, trimmed
+from .common import held_out, prepare, removed, text_column, train_row, trimmed, written
 
 #: Of each of the two tables.
 BUCKETS = 1 << 21
@@ -153,11 +153,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _evidence(counts):
-    """Rows of (best score, tokens, a histogram of token scores and the segments' scores as bytes, label), each document's own counts taken off."""
+    """A row a document of (best score, tokens, the segments' scores as bytes, label), each document's own counts taken off; and one a task, without a label, of its clean documents' histogram of token scores."""
 
     def run(batches):
         toxic, clean, share = counts.value
         edges = np.linspace(LOW - COST, HIGH - COST, 66)
+        spread = np.zeros(65)
         for b in batches:
             label = b.column(1).to_numpy()
             best, n, marks = [], [], []
@@ -168,8 +169,11 @@ def _evidence(counts):
                     found = segments(s)
                     best.append(max((x[2] for x in found), default=0.0))
                     n.append(len(s))
-                    marks.append(np.concatenate([np.histogram(s, edges)[0].astype(float), np.array([x[2] for x in found])]).tobytes())
+                    marks.append(np.array([x[2] for x in found], np.float32).tobytes())
+                    if label[start + r] == 0:
+                        spread += np.histogram(s, edges)[0]
             yield pa.RecordBatch.from_arrays([pa.array(best, pa.float64()), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), b.column(1)], names=["best", "n", "marks", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array([0.0]), pa.array([0], pa.int64()), pa.array([spread.tobytes()], pa.binary()), pa.nulls(1, pa.int32())], names=["best", "n", "marks", "toxic"])
 
     return trimmed(run)
 
@@ -212,11 +216,13 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     # Documents count, so the share of a word that tells nothing is that of toxic documents.
     share = drawn[1] / (drawn[0] + drawn[1])
     seen = rows.mapInArrow(_evidence(spark.sparkContext.broadcast((table[1], table[0], share))), "best double, n long, marks binary, toxic int").toArrow()
+    labelled = seen["toxic"].is_valid()
+    spread = sum((np.frombuffer(x.as_buffer(), np.float64) for x in seen.filter(pc.invert(labelled))["marks"]), np.zeros(65))
+    seen = seen.filter(labelled)
     best, n, toxic = (seen[c].to_numpy() for c in ("best", "n", "toxic"))
-    marks_of = [np.frombuffer(x.as_buffer(), np.float64) for x in seen["marks"]]
+    marks_of = [np.frombuffer(x.as_buffer(), np.float32) for x in seen["marks"]]
     model = Model(table[1], table[0], share)
     clean = np.flatnonzero(toxic == 0)
-    spread = sum((marks_of[k][:65] for k in clean), np.zeros(65))
     middle = np.linspace(LOW - COST, HIGH - COST, 66)
     middle = (middle[1:] + middle[:-1]) / 2
     p = spread / max(1.0, spread.sum())
@@ -226,11 +232,12 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     fair = clean[n[clean] > 0]
     # Of clean texts, a share 1 - exp(-K n exp(-rate x)) scores above x: K by maximum likelihood given the rate.
     model.log_k = float(-np.log(np.mean(n[fair] * np.exp(-model.rate * np.maximum(best[fair], 0))))) if len(fair) else 0.0
-    x = np.array([[np.log1p(v), np.log1p(k)] for v, k in (model.evidence(best[i], n[i], [(0, 0, s) for s in marks_of[i][65:]]) for i in range(len(best)))])
+    x = np.array([[np.log1p(v), np.log1p(k)] for v, k in (model.evidence(best[i], n[i], [(0, 0, s) for s in marks_of[i]]) for i in range(len(best)))])
     # The sample may hold a smaller share of the clean ones than the table; weigh the intercept back.
     w = _logistic(x, toxic.astype(float))
     w[0] += np.log(sizes[1] / drawn[1]) - np.log(sizes[0] / drawn[0])
     model.weights = tuple(float(v) for v in w)
+    removed(spark, ids)
     return model
 
 
