@@ -20,8 +20,10 @@ from .common import held_out, prepare, removed, text_column, train_row, trimmed,
 
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
-#: The weights are fitted on at most so many rows of a language, and so many in all; labels beyond the most frequent are not learned.
-PER_LANGUAGE, SAMPLE, LANGUAGES = 1000, 10_000, 500
+#: The weights are fitted on about so many rows of a language, fewer if that is more than SAMPLE in all, but never fewer than LEAST.
+PER_LANGUAGE, SAMPLE, LEAST = 1000, 10_000, 20
+#: Every label is learned; with many of them features are folded so that there are at most so many weights.
+MOST_WEIGHTS = 1 << 23
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -47,13 +49,11 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] |= keep[:-1].copy()  # one space after a letter
     c = np.concatenate([[32], c[keep], [32]]).astype(np.uint64)
     found = []
-    for n in ORDERS:
-        if len(c) >= n:
-            h = np.full(len(c) - n + 1, n, np.uint64)
-            for k in range(n):
-                h = (h ^ c[k : len(c) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            found.append((h >> np.uint64(20)) & np.uint64(FEATURES - 1))
+    h = np.full(len(c), 1, np.uint64)
+    for k in range(min(ORDERS[-1], len(c))):  # an n-gram's hash goes on from that of its first n - 1 characters
+        h = (h[: len(c) - k] ^ c[k:]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        found.append((h >> np.uint64(20)) & np.uint64(FEATURES - 1))
     h = np.concatenate(found).astype(np.int64)
     if len(h) > 4000:
         counts = np.bincount(h, minlength=FEATURES)
@@ -62,11 +62,19 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(h, return_counts=True)
 
 
+def folded(ids: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features modulo a power of two, counts added up."""
+    if width >= FEATURES:
+        return ids, counts
+    own, at = np.unique(ids & (width - 1), return_inverse=True)
+    return own, np.bincount(at, counts).astype(np.int64)
+
+
 @dataclass
 class Model:
     languages: list[str]
     idf: np.ndarray
-    weights: np.ndarray  # FEATURES + 1 (bias) by languages
+    weights: np.ndarray  # features + 1 (bias) by languages
     temperature: float = 1.0
 
     def vector(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -77,7 +85,7 @@ class Model:
         return self.vector(ids, counts) @ self.weights[ids] + self.weights[-1]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        ids, counts = features(text)
+        ids, counts = folded(*features(text), len(self.idf))
         if not len(ids) or not self.languages:
             return UNKNOWN, 0.0
         p = _softmax(self.logits(ids, counts) / self.temperature)
@@ -92,12 +100,12 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def fit_weights(rows: list[tuple[int, np.ndarray, np.ndarray]], model: Model, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 2e-4, l2: float = 1e-3, seed: int = 7) -> None:
     """FTRL-proximal over rows of (class, ids, counts); sets the model's weights and temperature."""
-    k = len(model.languages)
-    z, n = np.zeros((FEATURES + 1, k)), np.zeros((FEATURES + 1, k))
+    k, width = len(model.languages), len(model.idf)
+    z, n = np.zeros((width + 1, k)), np.zeros((width + 1, k))
     draw = np.random.default_rng(seed)
     order = draw.permutation(len(rows))
     aside, used = order[: len(order) // 5], order[len(order) // 5 :]
-    ready = [(y, np.append(ids, FEATURES).astype(np.int32), np.append(model.vector(ids, counts), 1.0).astype(np.float32)) for y, ids, counts in rows]
+    ready = [(y, np.append(ids, width).astype(np.int32), np.append(model.vector(ids, counts), 1.0).astype(np.float32)) for y, ids, counts in rows]
     for _ in range(epochs):
         for r in draw.permutation(used):
             y, at, x = ready[r]
@@ -145,29 +153,32 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(documents: DataFrame) -> Model:
-    """Learns from text and non-null lang of the rows that are not held out."""
+    """Learns from text and non-null lang of the rows that are not held out; every label is learned. The driver holds one count a label and the sample."""
+    spark = documents.sparkSession
     rows = documents.where(train_row() & F.col("lang").isNotNull()).select(F.col("doc_id"), text_column(documents).alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
-    most = min(PER_LANGUAGE, SAMPLE // max(1, len(sizes)))
-    share = F.coalesce(F.create_map(*(x for r in sizes for x in (F.lit(r.lang), F.lit(min(1.0, most / r.n)))))[F.col("lang")], F.lit(0.0)) if sizes else F.lit(0.0)
-    chosen = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 30)) < share * (1 << 30)
-    gathered = written(rows.select("text", "lang", chosen.alias("chosen")).mapInArrow(_gather, "feature int, df long, lang string, ids binary, counts binary"), "language")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
+    most = max(LEAST, min(PER_LANGUAGE, SAMPLE // max(1, len(sizes))))
+    shares = spark.createDataFrame([(r.lang, min(1.0, most / r.n)) for r in sizes], "lang string, share double")
+    chosen = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    gathered = written(rows.join(shares, "lang").select("text", "lang", chosen.alias("chosen")).mapInArrow(_gather, "feature int, df long, lang string, ids binary, counts binary"), "language")
+    width = FEATURES
+    while width * len(sizes) > MOST_WEIGHTS and width > 256:
+        width //= 2
     total = sum(r.n for r in sizes)
     counts = gathered.where("feature is not null").groupBy("feature").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(FEATURES)
-    df[counts["feature"].to_numpy()] = counts["df"].to_numpy()
-    model = Model(sorted(r.lang for r in sizes), (np.log((1 + total) / (1 + df)) + 1).astype(np.float64), np.zeros((FEATURES + 1, max(1, len(sizes))), np.float32))
+    df = np.bincount(counts["feature"].to_numpy() & (width - 1), counts["df"].to_numpy(), width)
+    model = Model([r.lang for r in sizes], np.log((1 + total) / (1 + np.minimum(df, total))) + 1, np.zeros((width + 1, max(1, len(sizes))), np.float32))
     code = {x: k for k, x in enumerate(model.languages)}
-    sample = gathered.where("lang is not null").orderBy(F.xxhash64("lang", "ids", "counts")).limit(2 * SAMPLE).toArrow()
-    data = [(code[x.as_py()], np.frombuffer(i.as_buffer(), np.uint32), np.frombuffer(c.as_buffer(), np.uint32)) for x, i, c in zip(sample["lang"], sample["ids"], sample["counts"]) if x.as_py() in code]
-    removed(documents.sparkSession, gathered)
+    sample = gathered.where("lang is not null").orderBy(F.xxhash64("lang", "ids", "counts")).toArrow()
+    data = [(code[x.as_py()], *folded(np.frombuffer(i.as_buffer(), np.uint32), np.frombuffer(c.as_buffer(), np.uint32), width)) for x, i, c in zip(sample["lang"], sample["ids"], sample["counts"])]
+    removed(spark, gathered)
     if data:
         fit_weights(data, model)
     return model
 
 
 def identify(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with lang_pred and score. A null or empty text, or one without a letter, is `und` with score 0."""
+    """The kept columns with lang_pred and score. A null or empty text, or one without a letter, is `und` with score 0. Repeated rows get a row each, nulls in the kept columns stay, an empty table gives an empty table."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     own = documents.select(text_column(documents).alias("__text"), *keep)
     schema = own.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema

@@ -156,6 +156,25 @@ def test_language_edges(spark):
     assert language.language_table(edge_docs(spark).limit(0)).count() == 0
 
 
+def test_language_learns_every_label(spark, monkeypatch):
+    """600 labels, each with words of its own; features are folded."""
+    draw = np.random.default_rng(3)
+    words = ["".join(chr(97 + x) for x in draw.integers(0, 26, 5)) for _ in range(600 * 4)]
+    rows = [(k, " ".join(draw.choice(words[4 * (k % 600) : 4 * (k % 600) + 4], 12)), f"l{k % 600:03d}") for k in range(600 * 6)]
+    monkeypatch.setattr(language, "MOST_WEIGHTS", 600 * 8192)
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 600 and len(model.idf) == 8192
+    held = [(t, y) for k, t, y in rows if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert np.mean([model.predict(t)[0] == y for t, y in held]) > 0.9
+
+
+def test_features_are_counts_of_grams():
+    ids, counts = language.features("Ab ab, C")
+    assert counts.sum() == 9 + 8 + 7 and len(ids) == len({*" ab c ", *(" ab ab c "[i : i + 2] for i in range(8)), *(" ab ab c "[i : i + 3] for i in range(7))})
+    small, some = language.folded(ids, counts, 4)
+    assert some.sum() == counts.sum() and len(small) <= 4
+
+
 def test_segments_are_maximal():
     assert toxicity.segments(np.array([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5.0])) == [(0, 1, 4.0), (2, 3, 3.0), (4, 11, 7.0)]
     assert toxicity.segments(np.array([-1.0, -2])) == []
@@ -188,6 +207,14 @@ def test_toxicity_held_out(spark):
     miss = [r.score for r in rows if r.toxic == 0]
     assert np.mean([(a > b) + (a == b) / 2 for a in hit for b in miss]) > 0.8
     assert sum(s >= 0.3 for s in miss) <= 0.05 * len(miss)
+    assert sum(s >= 0.3 for s in hit) >= 0.6 * len(hit)  # 37 toxic documents to learn from
+
+
+def test_toxicity_recall_with_more_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.toxicity_table(docs, labels).join(labels, "doc_id").where("held_out").select("toxic", "predicted").collect()
+    toxic, clean = [r.predicted for r in rows if r.toxic == 1], [r.predicted for r in rows if r.toxic == 0]
+    assert sum(toxic) >= 0.88 * len(toxic) and sum(clean) <= 0.02 * len(clean)
 
 
 def test_toxicity_edges(spark):
