@@ -24,6 +24,8 @@ ORDERS = (1, 2, 3)
 PER_LANGUAGE, SAMPLE, LEAST = 1000, 10_000, 20
 #: Every label is learned; with many of them features are folded so that there are at most so many weights.
 MOST_WEIGHTS = 1 << 23
+#: Labels whose shares are broadcast; those of more are joined.
+MOST_BROADCAST = 100_000
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -160,7 +162,8 @@ def fit(documents: DataFrame) -> Model:
     most = max(LEAST, min(PER_LANGUAGE, SAMPLE // max(1, len(sizes))))
     shares = spark.createDataFrame([(r.lang, min(1.0, most / r.n)) for r in sizes], "lang string, share double")
     chosen = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-    gathered = written(rows.join(shares, "lang").select("text", "lang", chosen.alias("chosen")).mapInArrow(_gather, "feature int, df long, lang string, ids binary, counts binary"), "language")
+    # Of known size: one row a label.
+    gathered = written(rows.join(F.broadcast(shares) if len(sizes) <= MOST_BROADCAST else shares, "lang").select("text", "lang", chosen.alias("chosen")).mapInArrow(_gather, "feature int, df long, lang string, ids binary, counts binary"), "language")
     width = FEATURES
     while width * len(sizes) > MOST_WEIGHTS and width > 256:
         width //= 2
