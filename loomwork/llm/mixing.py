@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_column, written
+from ..operators import ranges
+from .common import Scratch, prepare, removed, text_column, written
 
 #: Sources by code point (null last) have these weights, again and again.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -27,20 +28,18 @@ def targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
     """totals(source, source_size) -> the same with target and rate.
 
     Sources are filled by weight up to their limits: in order of limit / weight, a source is at its limit if the level that the
-    rest would share by weight is not below its own.
+    rest would share by weight is not below its own. Places and running sums come from parallel ranges, as there may be a source a host.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    pick = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(order) - 1) % len(weights) + 1)
-    full = Window.orderBy("ratio", F.col("source").isNull(), F.col("source").cast("binary"))
-    before = full.rowsBetween(Window.unboundedPreceding, -1)
-    from_here = full.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    limited = totals.select("source", "source_size", pick.alias("weight")).withColumn("ratio", most * F.col("source_size") / F.col("weight"))
-    level = (share * F.sum("source_size").over(every) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(from_here)
-    levelled = limited.withColumn("level", level)
-    final = F.max(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(every)
-    target = F.when(F.col("ratio") > F.coalesce(final, F.lit(float("inf"))), F.col("weight") * final).otherwise(most * F.col("source_size"))
-    return levelled.withColumn("target", target).select("source", "source_size", "target", F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)).alias("rate"))
+    keyed = totals.select("source", "source_size", F.col("source").isNull().cast("int").alias("no_source"), F.col("source").cast("binary").alias("code"))
+    pick = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    limited = ranges.row_index(keyed, ["no_source", "code"], "place").withColumn("weight", pick).withColumn("ratio", most * F.col("source_size") / F.col("weight"))
+    summed = ranges.scan(limited, ["ratio", "place"], ranges.sum_value("source_size", "size_so_far"), ranges.sum_value("weight", "weight_so_far"))
+    all_of = limited.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))  # one row
+    level = (share * F.col("all_size") - most * (F.col("size_so_far") - F.col("source_size"))) / (F.col("all_weight") - F.col("weight_so_far") + F.col("weight"))
+    levelled = summed.crossJoin(all_of).withColumn("level", level)
+    final = levelled.agg(F.max(F.when(F.col("ratio") > F.col("level"), F.col("level"))).alias("final"))  # one row
+    target = F.when(F.col("ratio") > F.coalesce("final", F.lit(float("inf"))), F.col("weight") * F.col("final")).otherwise(most * F.col("source_size"))
+    return levelled.crossJoin(final).withColumn("target", target).select("source", "source_size", "target", F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)).alias("rate"))
 
 
 def copies_of(rate, doc_id, seed):
@@ -59,11 +58,15 @@ def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def planned(sized: DataFrame) -> DataFrame:
     """sized(doc_id, source, size) -> source, source_size, target, rate and seed of each source."""
-    plan = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
+    scratch = Scratch(sized.sparkSession)
+    totals = scratch.written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "totals")
+    plan = scratch.written(targets(totals), "targets")
     taken = [F.sum(F.col("size") * copies_of(F.col("rate"), F.col("doc_id"), F.lit(k))) for k in range(SEEDS)]
     misses = F.array(*(F.struct(F.abs(x - F.first("target")).alias("miss"), F.lit(k).alias("seed")) for k, x in enumerate(taken)))
     seeds = _joined(sized, plan).groupBy(F.col("source").alias("s")).agg(F.array_min(misses)["seed"].alias("seed"))
-    return written(plan.join(seeds, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "plan")
+    out = written(plan.join(seeds, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "plan")
+    scratch.close()
+    return out
 
 
 def _sized(documents: DataFrame) -> DataFrame:
@@ -83,9 +86,16 @@ def mix_table(documents: DataFrame) -> DataFrame:
 
 
 def mixed(documents: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken; columns as given."""
+    """The documents of the mix, each as often as it is taken; columns as given.
+
+    A null or empty text has size 0 and is taken at its source's rate; a null source is a source, a null id draws as one of its own, repeated rows draw
+    alike. Without words in any text no document is taken. An empty table gives an empty table; extra columns stay, whatever their names.
+    """
     rows = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("__row"), F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"))
-    many = _joined(rows, planned(_sized(documents))).withColumn("copies", copies_of(F.col("rate"), F.col("doc_id"), F.col("seed"))).where("copies > 0")
+    sized = _sized(documents)
+    plan = planned(sized)
+    removed(documents.sparkSession, sized)
+    many = _joined(rows, plan).withColumn("copies", copies_of(F.col("rate"), F.col("doc_id"), F.col("seed"))).where("copies > 0")
     return many.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("__row.*")
 
 
