@@ -22,8 +22,8 @@ from .common import new_path, prepare, text_column, trimmed
 from .kernels import blocks, text_buffer
 
 END = 1
-#: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Words whose ids a worker remembers, and their letters and ids in bytes.
+REMEMBERED, REMEMBERED_BYTES = 600_000, 24 << 20
 #: Text encoded at once.
 BLOCK_BYTES = 4 << 20
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 1 << 18, 512
@@ -54,6 +54,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.bytes = 0
 
     def learn(self, words: list[str]) -> None:
         plain = [w for w in words if _PLAIN.fullmatch(w)]
@@ -70,6 +71,7 @@ class WordEncoder:
             some = other[k : k + 4096]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.bytes += sum(map(len, words)) + sum(map(len, map(self.known.__getitem__, words)))
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by `end`, and the texts' offsets into them."""
@@ -78,8 +80,9 @@ class WordEncoder:
         word = split.flatten().dictionary_encode()
         used = word.dictionary.to_pylist()
         missing = [w for w in used if w not in self.known]
-        if len(self.known) + len(missing) > REMEMBERED:
+        if len(self.known) + len(missing) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
             self.known.clear()
+            self.bytes = 0
             missing = used
         self.learn(missing)
         own = [self.known[w] for w in used]
