@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.frame import free
 from . import kernels as K
 from .common import Scratch, prepare, removed, text_column, trimmed, written
 from .components import connected
@@ -47,7 +48,7 @@ MOST_BROADCAST = 1_000_000
 #: Fingerprints that a task remembers, to give out copies once.
 SEEN = 500_000
 
-_DOCS = pa.schema([("row_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64())])
+_DOCS = pa.schema([("row_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("fp", pa.int64())])
 _GRAMS = pa.schema([("gram", pa.int64())])
 _POSTINGS = pa.schema([("gram", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("pos", pa.int32())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -71,10 +72,10 @@ def _documents(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, fp = [], []
-            for _, s in K.shingle_sets(b.column(1), width):
+            for _, s in K.shingle_sets(b.column(2), width):
                 n.append(len(s))
                 fp.append(_fingerprint(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64())], schema=_DOCS)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.int64())], schema=_DOCS)
 
     return trimmed(run)
 
@@ -412,6 +413,19 @@ def set_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return groups.table
 
 
+def _components(documents: DataFrame, width: int, percent: int, id_col: str) -> DataFrame:
+    """A row a document: row_id, text_hash, n, and the component."""
+    prepare(documents.sparkSession)
+    docs = documents.select(F.col(id_col).cast("long").alias("row_id"), text_column(documents).alias("text"))
+    rows = written(docs.select("row_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_documents(width), "row_id long, text_hash long, n long, fp long"), "rows")
+    roots = set_groups(docs, width, percent)
+    per_set = rows.where("fp is not null").groupBy("fp").agg(F.min("row_id").alias("least"))
+    joined = per_set.join(roots, per_set.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    some = rows.where("fp is not null").join(named, "fp").select("row_id", "text_hash", "n", "component_id")
+    return some.unionByName(rows.where("fp is null").select("row_id", "text_hash", "n", F.col("row_id").alias("component_id")))
+
+
 def jaccard_components(documents: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id") -> DataFrame:
     """Every row's id, n_shingles (size of its n-gram set) and component_id (smallest id reachable by links, its own included).
 
@@ -419,16 +433,23 @@ def jaccard_components(documents: DataFrame, width: int = 4, percent: int = 85,
     than `width` words make one n-gram of them all. Repeated rows link with each other like any copies. A null id stays null
     unless its component has another. An empty table gives an empty table; other columns are ignored.
     """
-    prepare(documents.sparkSession)
-    docs = documents.select(F.col(id_col).cast("long").alias("row_id"), text_column(documents).alias("text"))
-    rows = written(docs.mapInArrow(_documents(width), "row_id long, n long, fp long"), "rows")
-    roots = set_groups(docs, width, percent)
-    per_set = rows.where("fp is not null").groupBy("fp").agg(F.min("row_id").alias("least"))
-    joined = per_set.join(roots, per_set.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    some = rows.where("fp is not null").join(named, "fp").select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    none = rows.where("fp is null").select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("row_id").alias("component_id"))
-    return some.unionByName(none)
+    return _components(documents, width, percent, id_col).select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def first_of_each(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
+    """One row of each component: that of the smallest id (of several texts with that id in the component, one of them).
+
+    Rows with a null id stay, as do rows whose text is null, empty or white space, but for exact repetitions of id and text. Columns as given; an empty
+    table gives an empty table.
+    """
+    own, first, text_hash = (free(x, documents) for x in ("__own", "__first", "__hash"))
+    parts = _components(documents, width, percent, id_col).where("row_id is not null and row_id = component_id")
+    kept = parts.groupBy(F.col("component_id").alias(first), F.when(F.col("n") == 0, F.col("text_hash")).alias("empty")).agg(F.min("text_hash").alias(text_hash))
+    named = documents.where(F.col(id_col).isNotNull()).withColumn(own, F.xxhash64(text_column(documents)))
+    out = named.join(kept, (F.col(id_col).cast("long") == F.col(first)) & (F.col(own) == F.col(text_hash)), "left_semi")
+    if not named.groupBy(id_col).count().where("count > 1").isEmpty():
+        out = out.dropDuplicates([id_col, own])
+    return out.drop(own).union(documents.where(F.col(id_col).isNull()))
 
 
 #: DuckDB SQL for jaccard_components with words of four and 85 percent.

@@ -472,6 +472,82 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def mixed_by_hand(rows):
+    """(rows that the mix takes) of (doc_id, text, source), by the rules in plain Python."""
+    import hashlib
+    import math
+    import re
+
+    sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    total = {}
+    for (_, _, s), n in zip(rows, sizes):
+        total[s] = total.get(s, 0) + n
+    names = sorted(total, key=lambda s: (s is None, (s or "").encode()))
+    weight, target, free = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, {}, 1.5 * sum(sizes)
+    rest = list(names)
+    while rest:  # those over their limit stop there, the others share again
+        level = free / sum(weight[s] for s in rest)
+        full = [s for s in rest if weight[s] * level >= 2 * total[s]]
+        if not full:
+            target |= {s: weight[s] * level for s in rest}
+            break
+        for s in full:
+            target[s] = 2 * total[s]
+            free -= target[s]
+        rest = [s for s in rest if s not in full]
+    rate = {s: target[s] / total[s] if total[s] else 0.0 for s in names}
+
+    def copies(i, s, seed):
+        draw = int(hashlib.md5(f"mix-1:{seed}:{'null' if i is None else i}".encode()).hexdigest()[:12], 16) / 2**48
+        return math.floor(rate[s]) + (draw < rate[s] - math.floor(rate[s]))
+
+    seed = {s: min(range(16), key=lambda k: (abs(sum(n * copies(i, s, k) for (i, _, x), n in zip(rows, sizes) if x == s) - target[s]), k)) for s in names}
+    return [(i, t) for i, t, s in rows for _ in range(copies(i, s, seed[s]))]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """run() over a folder with planted copies, leaks, nulls, repeated rows and a clashing extra column, against each stage's rules in plain Python."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from loomwork.llm import language
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select(*corpus_pipeline.COLUMNS).orderBy("doc_id").limit(70)
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").limit(12)
+    held = [tuple(r) for r in docs.collect()]
+    item = bench.first()["text"]
+    extra = [(9001, held[3][1] + " tail", "en", "web", 5), (9002, f"some words before {item} and after it", "en", None, 5), (9003, None, "en", "web", 0), (9004, "", None, "web", 0), (9005, "12 34 !!", "en", "web", 3), (9001, held[3][1] + " tail", "en", "web", 5), (9006, held[5][1].upper(), None, None, 9)]
+    table = spark.createDataFrame(held + extra, docs.schema).withColumn("text_hash", F.lit(1)).withColumn("place", F.col("doc_id"))
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.doc_id, r.start, r.n_tokens, tuple(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    model = language.fit(table)
+    one = [r for r in held + extra if (p := model.predict(r[1]))[0] != "und" and p[1] >= corpus_pipeline.LEAST_SCORE]
+    assert {r[0] for r in one} & {9003, 9004, 9005} == set() and len(one) > 60
+    part = brute({i: t for i, t, *_ in one})
+    two = {r[0]: r for r in one if part[r[0]] == r[0]}.values()
+    assert 9001 not in {r[0] for r in two} and 9006 not in {r[0] for r in two}
+    items = [decontaminate.normal(r["text"]).decode() for r in bench.collect()]
+    three = [r for r in two if not any(decontaminate.edit_search(x, decontaminate.normal(r[1]).decode())[0] <= 0.2 * len(x) for x in items)]
+    assert 9002 not in {r[0] for r in three} and len(three) > 30
+    encoder, start, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0, []
+    for i, t in sorted(mixed_by_hand([(r[0], r[1], r[3]) for r in three])):
+        ids = [*encoder.encode(t, add_special_tokens=False).ids, 1]
+        want.append((i, start, len(ids), tuple(ids)))
+        start += len(ids)
+    assert got == sorted(want)
+
+
+def test_pipeline_keeps_texts_of_one_id_apart(spark):
+    """An id with two texts: each is judged by its own group."""
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(3, b, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (7, a, "en", "s", 1), (8, "", "en", "s", 0), (8, None, "en", "s", 0), (None, a, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, DATA).collect()
+    assert sorted(((r.doc_id or 0), r.text or "") for r in got) == sorted([(3, b), (5, a), (8, ""), (8, ""), (0, a)])
+
+
 def brute(held):
     """Component of each document for word 5-grams and a similarity of 0.8."""
     own = {i: grams(t, 5) for i, t in sorted(held.items())}
@@ -495,6 +571,9 @@ def brute(held):
 
 def test_pipeline_stages_take_edges(spark):
     docs = edge_docs(spark)
+    ids = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+    assert len(ids) == 11 and all(r.ids[-1] == 1 for r in ids)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), DATA).count() == 0
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == list(corpus_pipeline.COLUMNS)
         assert stage(spark, docs, DATA).count() >= 1
