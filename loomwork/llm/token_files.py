@@ -22,7 +22,7 @@ from .common import new_path, prepare, text_column, trimmed
 from .kernels import blocks, text_buffer
 
 END = 1
-#: Words whose ids a worker remembers, and their letters and ids in bytes.
+#: Words whose ids a worker remembers, and their letters and ids in bytes: two generations of half as many.
 REMEMBERED, REMEMBERED_BYTES = 600_000, 24 << 20
 #: Text encoded at once.
 BLOCK_BYTES = 4 << 20
@@ -54,6 +54,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.bytes = 0
 
     def learn(self, words: list[str]) -> None:
@@ -71,21 +72,32 @@ class WordEncoder:
             some = other[k : k + 4096]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
-        self.bytes += sum(map(len, words)) + sum(map(len, map(self.known.__getitem__, words)))
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words. The younger generation becomes the older one where it is full, and what is used of that comes back."""
+        own = list(map(self.known.get, words))
+        gaps = [k for k, x in enumerate(own) if x is None]
+        if gaps:
+            missing = [words[k] for k in gaps]
+            if self.older:
+                back = {w: x for w in missing if (x := self.older.get(w)) is not None}
+                self.known |= back
+                missing = [w for w in missing if w not in back]
+            self.learn(missing)
+            for k in gaps:
+                own[k] = found = self.known[words[k]]
+                self.bytes += len(words[k]) + len(found)
+            if 2 * len(self.known) > REMEMBERED or 2 * self.bytes > REMEMBERED_BYTES:
+                self.older, self.known, self.bytes = self.known, {}, 0
+        return own
 
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by `end`, and the texts' offsets into them."""
         text = pc.replace_substring_regex(column.cast(pa.large_string()).fill_null(""), _STOP, r"\1 \2\3")
         split = pc.split_pattern(pc.replace_substring(text, "\n", " "), " ")
         word = split.flatten().dictionary_encode()
-        used = word.dictionary.to_pylist()
-        missing = [w for w in used if w not in self.known]
-        if len(self.known) + len(missing) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
-            self.known.clear()
-            self.bytes = 0
-            missing = used
-        self.learn(missing)
-        own = [self.known[w] for w in used]
+        used = word.dictionary.to_numpy(zero_copy_only=False).tolist()
+        own = self.ids_of(used)
         own.append(np.array([end], "<u4").tobytes())
         flat, size = np.frombuffer(b"".join(own), "<i4"), np.array([len(x) // 4 for x in own], np.int64)
         first = np.cumsum(size) - size
