@@ -23,9 +23,9 @@ from .kernels import blocks, text_buffer
 
 END = 1
 #: Words whose ids a worker remembers, and their letters and ids in bytes: two generations of half as many.
-REMEMBERED, REMEMBERED_BYTES = 600_000, 24 << 20
+REMEMBERED, REMEMBERED_BYTES = 800_000, 40 << 20
 #: Text encoded at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 1 << 18, 512
 
 _STOP = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,])([ \n])"
