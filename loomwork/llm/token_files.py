@@ -23,9 +23,9 @@ from .kernels import blocks, text_buffer
 
 END = 1
 #: Words whose ids a worker remembers, and their letters and ids in bytes: two generations of half as many.
-REMEMBERED, REMEMBERED_BYTES = 800_000, 40 << 20
+REMEMBERED, REMEMBERED_BYTES = 700_000, 40 << 20
 #: Text encoded at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 1 << 18, 512
 
 _STOP = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,])([ \n])"
@@ -99,14 +99,18 @@ class WordEncoder:
         used = word.dictionary.to_numpy(zero_copy_only=False).tolist()
         own = self.ids_of(used)
         own.append(np.array([end], "<u4").tobytes())
-        flat, size = np.frombuffer(b"".join(own), "<i4"), np.array([len(x) // 4 for x in own], np.int64)
-        first = np.cumsum(size) - size
+        flat, size = np.frombuffer(b"".join(own), "<i4"), np.array([len(x) // 4 for x in own], np.int32)
+        first = np.cumsum(size, dtype=np.int32) - size
         last = split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0]
-        index = np.insert(word.indices.to_numpy().astype(np.int64), last, len(used))
+        index = np.insert(word.indices.to_numpy(), last, len(used))
+        del text, split, word, own, used
         lengths = size[index]
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        ids = flat[np.repeat(first[index] - total[:-1], lengths) + np.arange(total[-1])]
-        return ids, total[np.concatenate([[0], last + np.arange(1, len(last) + 1)])]
+        total = np.zeros(len(lengths) + 1, np.int64)
+        np.cumsum(lengths, out=total[1:])
+        # A block's ids are far fewer than 2**31, so places in it are 32 bits wide.
+        spot = np.repeat(first[index] - total[:-1].astype(np.int32), lengths)
+        spot += np.arange(total[-1], dtype=np.int32)
+        return flat[spot], total[np.concatenate([[0], last + np.arange(1, len(last) + 1)])]
 
 
 def encoder(path: str) -> WordEncoder:
