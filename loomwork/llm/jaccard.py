@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.frame import free
 from . import kernels as K
-from .common import Scratch, prepare, removed, text_column, trimmed, written
+from .common import Scratch, give_back, prepare, removed, text_column, trimmed, written
 from .components import connected
 
 #: A list of more sets than this is handled in blocks.
@@ -46,7 +46,9 @@ FREQUENT, MOST_FREQUENT = 8, 1_000_000
 #: Up to so many sets are looked up by a broadcast list of ids, more by a join.
 MOST_BROADCAST = 1_000_000
 #: Fingerprints that a task remembers, to give out copies once.
-SEEN = 500_000
+SEEN = 200_000
+#: After a pair of blocks of so many bytes memory is given back.
+LARGE_GROUP = 2 << 20
 
 _DOCS = pa.schema([("row_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("fp", pa.int64())])
 _GRAMS = pa.schema([("gram", pa.int64())])
@@ -279,6 +281,8 @@ def _compare(percent: int):
         one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         number = np.concatenate([one, two])
         found = answers([sets[k] for k in one], [sets[k] for k in two] if len(two) else None, percent, label[number])
+        if table.nbytes > LARGE_GROUP:
+            give_back()
         return pa.table({"u": pa.array([int(label[number[a]]) for a, _ in found], pa.int64()), "v": pa.array([int(label[number[b]]) for _, b in found], pa.int64())}, schema=_LINKS)
 
     return run
