@@ -325,11 +325,11 @@ def join_left(t):
     return joins.join_on(t.customer, t.orders.where("o_totalprice > 300000"), ["c_custkey"], ["o_custkey"], "left").select("c_custkey", "o_orderkey")
 
 
-@query("SELECT a.k AS k, a.x AS x, b.k AS k_right, b.x AS x_right FROM (SELECT c_nationkey AS k, count(*) AS x FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1 HAVING count(*) % 2 = 0) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS x FROM supplier GROUP BY 1) b ON a.k = b.k")
+@query("SELECT a.k AS k, a.x AS x, b.k AS k_right, b.x AS x_right FROM (SELECT 2 * c_custkey AS k, c_acctbal AS x FROM customer) a FULL JOIN (SELECT 3 * s_suppkey AS k, s_acctbal AS x FROM supplier) b ON a.k = b.k")
 def join_outer(t):
-    a = t.customer.where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("x")).where("x % 2 = 0")
-    b = t.supplier.groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("x"))
-    return joins.join(a, b, "k", "outer")
+    """Both whole tables; the keys are such that each side has rows that match none."""
+    a = t.customer.select((2 * F.col("c_custkey")).alias("k"), F.col("c_acctbal").alias("x"))
+    return joins.join(a, t.supplier.select((3 * F.col("s_suppkey")).alias("k"), F.col("s_acctbal").alias("x")), "k", "outer")
 
 
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation")
